@@ -15,12 +15,30 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mpeg_audio import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -28,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op6_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op3_warc, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
