@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ BLOCK = struct.Struct("<QQQQQ")
 EVERY = 256
 #: A file is closed once it has this many ids: 8 MB at two bytes an id.
 FILE_IDS = 4_000_000
-#: Distinct space-separated chunks whose ids a worker remembers.
-MEMO = 250_000
+#: Distinct chunks whose ids a worker remembers, and as many older ones.
+MEMO = 500_000
 END_ID = 2
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -143,30 +144,71 @@ class TokenFile:
         return [None] * self.n_nulls + named.tolist()
 
 
-class _Memo(dict):
-    """Chunk of text without ASCII white space -> its ids as bytes.
+class _Encoder:
+    """Ids of whole texts, by remembered chunks.
 
-    The tokenizer's patterns drop white space and never match across it, so a text's ids are its chunks' ids in turn.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its chunks in turn.  A chunk
+    of plain letters is one word of the tokenizer, and punctuation after it another, so new words are encoded many at a
+    time, as one text, and told apart by their word numbers.  Texts that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _one(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Puts the chunks' ids into the memo."""
+        words: dict[str, None] = {}
+        parts: list[tuple[bytes, str, str]] = []
+        for chunk in chunks:
+            if (known := self.older.get(chunk)) is not None:
+                self.memo[chunk] = known
+                continue
+            text = chunk.decode()
+            word = text.rstrip(_MARKS)
+            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
+                words[word] = None
+                parts.append((chunk, word, text[len(word) :]))
+            else:
+                self.memo[chunk] = self._one(text)
+        if not parts:
+            return
+        got = self.encode(" ".join(words), add_special_tokens=False)
+        sizes = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words))
+        if len(sizes) == len(words) and sizes.all():
+            flat, ends = np.asarray(got.ids, "<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+            ids = {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+        else:
+            ids = {w: self._one(w) for w in words}
+        tails = {t: self._one(t) if t else b"" for t in {t for _, _, t in parts}}
+        for chunk, word, tail in parts:
+            self.memo[chunk] = ids[word] + tails[tail]
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[chunk] = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-        return ids
+    def texts(self, raws: list[bytes], end: bytes) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers, then the end."""
+        split = [None if b"|>" in raw else raw.lower().split() for raw in raws]
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        new = set().union(*(x for x in split if x))
+        if new := new.difference(self.memo):
+            self._learn(new)
+        get = self.memo.__getitem__
+        return [(self._one(raw.decode()) if x is None else b"".join(map(get, x))) + end for raw, x in zip(raws, split, strict=True)]
 
 
-_MEMOS: dict[str, _Memo] = {}
+_ENCODERS: dict[str, _Encoder] = {}
+_MARKS = ".,;:!?"
 
 
-def encode_text(raw: bytes, path: str, end_id: int = END_ID) -> bytes:
-    memo = _MEMOS.get(path) or _MEMOS.setdefault(path, _Memo(path))
-    return b"".join(map(memo.__getitem__, raw.split())) + array("I", [end_id]).tobytes()
+def encode_texts(raws: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path))
+    return encoder.texts(raws, array("I", [end_id]).tobytes())
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> list[tuple[str, int, int]]:
@@ -180,11 +222,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, wi
             C.put_file(path, pack(names, encoded, width))
             made.append((path, held))
 
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), C.raw_texts(batch.column(1)), strict=True):
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            ids = encode_texts(list(C.raw_texts(batch.column(1))), tokenizer, end_id)
+            for name, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                 names.append(name)
-                encoded.append(encode_text(raw, tokenizer, end_id))
-                held += len(encoded[-1]) // 4
+                encoded.append(own)
+                held += len(own) // 4
                 if held >= FILE_IDS:
                     close()
                     names, encoded, held = [], [], 0
