@@ -21,6 +21,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -52,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op3_warc, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op3_warc, op4_toxicity, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
