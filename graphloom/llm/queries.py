@@ -15,6 +15,19 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def mixing_targets():
+    """Production parameters of the mixing query."""
+    from .mixing import OTHER, Targets
+
+    return Targets(languages={"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.13, OTHER: 0.02}, topics={"prose": 0.7, "license": 0.1, "tables": 0.05, "symbols": 0.05, "secrets": 0.02, OTHER: 0.08})
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), mixing_targets())
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -58,8 +71,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op3_warc, op4_toxicity, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op2_mixing, op3_warc, op4_toxicity, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import oracle
+
+    return {"op2_mixing": oracle(mixing_targets())}
