@@ -64,6 +64,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import perplexity
+
+    return perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -71,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op2_mixing, op3_warc, op4_toxicity, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_binary, op2_mixing, op3_warc, op4_toxicity, op5_html_extract, op6_simhash, op7_mpeg_audio, op8_language, op9_kneser_ney, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -214,3 +214,16 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) ->
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.select("fp", "root").join(best, "root").select("fp", "component_id")
     return of_docs.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with the document of the smallest doc_id of each component.
+
+    Rows that share a doc_id are one document, that with the smallest text; rows without doc_id can't be told apart, so
+    of those only equal ones become one.
+    """
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = C.pick(docs, *names)
+    found = simhash_components(rows).where("doc_id = component_id").select("doc_id").distinct()
+    kept = rows.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return kept.unionByName(rows.where("doc_id is null").distinct())
