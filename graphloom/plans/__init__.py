@@ -1,0 +1,6 @@
+"""Queries over the driver's tables."""
+
+from . import graph_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
