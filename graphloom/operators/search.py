@@ -95,10 +95,11 @@ def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, vector: list[float
     """(id, score, via): the lexical pool and the vector ranking, fused; via tells which of them has it."""
     lexical = ranked(bm25f(corpus, query, pool), F.desc("score"), F.asc("id"))
     near = ranked(nearest(vectors, vector, None), F.desc("similarity"), F.asc("id"))
-    both = fuse(lexical, near)
-    flags = both.join(lexical.select("id", F.lit(True).alias("l")), "id", "left").join(near.select("id", F.lit(True).alias("v")), "id", "left")
-    via = F.when(F.col("l") & F.col("v"), "hybrid").when(F.col("l"), "lexical").otherwise("vector")
-    return flags.select("id", half_up(F.col("score"), 9).alias("score"), via.alias("via")).orderBy(F.desc("score"), "id").limit(limit)
+    each = lexical.select("id", (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("l"), F.lit(None).cast("double").alias("v")).unionByName(near.select("id", F.lit(None).cast("double").alias("l"), (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("v")))
+    both = each.groupBy("id").agg(F.max("l").alias("l"), F.max("v").alias("v"))
+    via = F.when(F.col("l").isNotNull() & F.col("v").isNotNull(), "hybrid").when(F.col("l").isNotNull(), "lexical").otherwise("vector")
+    score = F.coalesce("l", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))
+    return both.select("id", half_up(score, 9).alias("score"), via.alias("via")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def match_quality(token: str, value: Column) -> Column:
