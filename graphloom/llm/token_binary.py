@@ -24,6 +24,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,8 @@ BLOCK = struct.Struct("<QQQQQ")
 EVERY = 256
 #: A file is closed once it has this many ids: 8 MB at two bytes an id.
 FILE_IDS = 4_000_000
-#: Distinct chunks whose ids a worker remembers, and as many older ones.
-MEMO = 500_000
+#: Distinct words whose ids a worker remembers before it begins anew.
+MEMO = 4_000_000
 END_ID = 2
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -144,71 +146,120 @@ class TokenFile:
         return [None] * self.n_nulls + named.tolist()
 
 
+class _Memo:
+    """Ids of words, found by the words' 64-bit hashes: sorted arrays, some 20 bytes a word, looked up many at a time."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint16)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and which of them are there."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        if len(self.hashes) > MEMO:
+            self.__init__()
+        hashes, own = np.unique(hashes, return_index=True)
+        own = own[~self.find(hashes)[1]]
+        hashes = hashes[~self.find(hashes)[1]]
+        size = np.fromiter((len(ids[i]) for i in own), np.int64, len(own))
+        flat = np.fromiter((x for i in own for x in ids[i]), np.uint32, int(size.sum()))
+        if len(flat) and flat.max() >> 16 and self.ids.dtype == np.uint16:
+            self.ids = self.ids.astype(np.uint32)
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, flat.astype(self.ids.dtype)))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.first, first), (self.size, size)))
+
+
 class _Encoder:
-    """Ids of whole texts, by remembered chunks.
+    """Ids of whole texts, by remembered words.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its chunks in turn.  A chunk
-    of plain letters is one word of the tokenizer, and punctuation after it another, so new words are encoded many at a
-    time, as one text, and told apart by their word numbers.  Texts that may hold special tokens are encoded whole.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its white-space separated
+    words in turn, and each distinct word of a batch is looked up once.  A word of plain letters is one piece of the
+    tokenizer, which its model encodes without the normaliser's work, and punctuation after it is another piece; all
+    other words go through the tokenizer as they are.  Texts that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _one(self, text: str) -> bytes:
-        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Puts the chunks' ids into the memo."""
-        words: dict[str, None] = {}
-        parts: list[tuple[bytes, str, str]] = []
-        for chunk in chunks:
-            if (known := self.older.get(chunk)) is not None:
-                self.memo[chunk] = known
-                continue
-            text = chunk.decode()
-            word = text.rstrip(_MARKS)
-            if word.isalpha() and word == word.lower() and is_normalized("NFC", word):
-                words[word] = None
-                parts.append((chunk, word, text[len(word) :]))
-            else:
-                self.memo[chunk] = self._one(text)
-        if not parts:
-            return
-        got = self.encode(" ".join(words), add_special_tokens=False)
-        sizes = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words))
-        if len(sizes) == len(words) and sizes.all():
-            flat, ends = np.asarray(got.ids, "<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-            ids = {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-        else:
-            ids = {w: self._one(w) for w in words}
-        tails = {t: self._one(t) if t else b"" for t in {t for _, _, t in parts}}
-        for chunk, word, tail in parts:
-            self.memo[chunk] = ids[word] + tails[tail]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = _Memo()
+        plain = [self.one(w) == self._piece(w) for w in ("plain", "größe", "être", "语言")]
+        self.by_piece = all(plain)  # holds for vocabularies of byte-level words; others take the tokenizer's way
 
-    def texts(self, raws: list[bytes], end: bytes) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers, then the end."""
-        split = [None if b"|>" in raw else raw.lower().split() for raw in raws]
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        new = set().union(*(x for x in split if x))
-        if new := new.difference(self.memo):
-            self._learn(new)
-        get = self.memo.__getitem__
-        return [(self._one(raw.decode()) if x is None else b"".join(map(get, x))) + end for raw, x in zip(raws, split, strict=True)]
+    def one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _piece(self, word: str) -> list[int]:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Puts these words' ids into the memo."""
+        cut: list[tuple[str, str]] = []
+        for text in new:
+            word = text.rstrip(_MARKS)
+            plain = self.by_piece and word.isalpha() and (word.isascii() or word == word.lower() and is_normalized("NFC", word))
+            cut.append((word, text[len(word) :]) if plain else ("", text))
+        words = list({w for w, _ in cut if w})
+        hashes = _hashes(words)
+        at, there = self.memo.find(hashes)
+        ids = {w: self.memo.ids[f : f + n].tolist() if t else self._piece(w) for w, t, f, n in zip(words, there, *self._spans(at), strict=True)}
+        tails = {t: self.one(t) if t else [] for t in {t for _, t in cut}}
+        fresh = [w for w, t in zip(words, there, strict=True) if not t]
+        self.memo.add(np.concatenate((_hashes(new), hashes[~there])), [ids[w] + tails[t] if w else tails[t] for w, t in cut] + [ids[w] for w in fresh])
+
+    def _spans(self, at: np.ndarray) -> tuple[list[int], list[int]]:
+        return (self.memo.first[at].tolist(), self.memo.size[at].tolist()) if len(self.memo.hashes) else ([0] * len(at), [0] * len(at))
+
+    def texts(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers, then the end."""
+        words, at, starts = C.words_of(texts)
+        hashes = _hashes(words)
+        place, there = self.memo.find(hashes)
+        if not there.all():
+            self._learn(words.filter(pa.array(~there)).to_pylist())
+            place, there = self.memo.find(hashes)
+            if not there.all():  # the memo was full and began anew
+                self._learn(words.to_pylist())
+                place, _ = self.memo.find(hashes)
+        place = place[at]
+        each = self.memo.size[place]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        # the i-th id of all comes from its word's first id, as far on as it is within its word
+        out = self.memo.ids[np.repeat(self.memo.first[place] - ends[:-1], each) + np.arange(ends[-1])].astype("<u4").tobytes()
+        cuts = (ends[starts] * 4).tolist()
+        found = [out[a:b] + end for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i in np.flatnonzero(pc.match_substring(texts.fill_null(""), "|>").to_numpy(zero_copy_only=False)).tolist():
+            found[i] = array("I", self.one(texts[i].as_py())).tobytes() + end
+        return found
+
+
+def _hashes(words: list[str] | pa.Array) -> np.ndarray:
+    values = words.to_numpy(zero_copy_only=False) if isinstance(words, pa.Array) else np.array(words, object)
+    return hash_array(values, categorize=False) if len(values) else np.zeros(0, np.uint64)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
+    own = [c for c in range(256) if 33 <= c < 127 or 161 <= c < 173 or 174 <= c]
+    return {c: chr(c) for c in own} | {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in own)}
+
+
+_BYTES = _byte_letters()
 _ENCODERS: dict[str, _Encoder] = {}
 _MARKS = ".,;:!?"
 
 
-def encode_texts(raws: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
+def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> list[bytes]:
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Encoder(path))
-    return encoder.texts(raws, array("I", [end_id]).tobytes())
+    return encoder.texts(texts, array("I", [end_id]).tobytes())
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> list[tuple[str, int, int]]:
@@ -222,8 +273,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, wi
             C.put_file(path, pack(names, encoded, width))
             made.append((path, held))
 
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            ids = encode_texts(list(C.raw_texts(batch.column(1))), tokenizer, end_id)
+        for batch in C.slices(batches, 1000):
+            ids = encode_texts(batch.column(1), tokenizer, end_id)
             for name, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                 names.append(name)
                 encoded.append(own)
