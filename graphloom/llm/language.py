@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +31,18 @@ from . import _common as C
 ORDER = 4
 SAMPLE_DOCS = 800
 UNIT = 1024
-MEMO = 200_000
+MEMO = 400_000
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
 class Model:
-    """Code lengths of (context, symbol) for all languages at once; self.code: context + symbol -> a tuple of costs."""
+    """Code lengths of (context, symbol), all languages at once.
+
+    self.code: context + symbol -> a whole number with the cost for each language in 64 bits of its own, so one addition
+    adds up every language; escapes likewise.
+    """
 
     def __init__(self, counts: dict[str, dict[bytes, int]], order: int = ORDER) -> None:
         self.langs, self.order = sorted(counts), order
@@ -50,34 +55,38 @@ class Model:
                     for k in range(min(order, i) + 1):
                         tree[text[i - k : i]][text[i]] += n
             seen.append(tree)
+        lanes = lambda values: sum(v << 64 * i for i, v in enumerate(values))
         cost = lambda p: round(-math.log2(p) * UNIT)
-        self.none = (8 * UNIT,) * len(self.langs)
-        self.escape: dict[bytes, tuple[int, ...]] = {}
-        self.code: dict[bytes, tuple[int, ...]] = {}
+        self.none = lanes([8 * UNIT] * len(self.langs))
+        self.escape: dict[bytes, int] = {}
+        self.code: dict[bytes, int] = {}
         for context in sorted(set().union(*seen), key=len):
             here = [t.get(context) for t in seen]
             totals = [sum(c.values()) + len(c) if c else 0 for c in here]
-            self.escape[context] = tuple(cost(len(c) / n) if c else 0 for c, n in zip(here, totals, strict=True))
+            out = [cost(len(c) / n) if c else 0 for c, n in zip(here, totals, strict=True)]
+            self.escape[context] = lanes(out)
             for symbol in set().union(*(c for c in here if c)):
                 key = context + bytes((symbol,))
-                below = self.code.get(key[1:], self.none) if context else self.none
-                self.code[key] = tuple(cost(c[symbol] / n) if c and symbol in c else e + b for c, n, e, b in zip(here, totals, self.escape[context], below, strict=True))
+                below = self._lanes(self.code.get(key[1:], self.none) if context else self.none)
+                self.code[key] = lanes(cost(c[symbol] / n) if c and symbol in c else e + b for c, n, e, b in zip(here, totals, out, below, strict=True))
+
+    def _lanes(self, packed: int) -> list[int]:
+        return np.frombuffer(packed.to_bytes(8 * len(self.langs), "little"), "<i8").tolist()
 
-    def cost(self, word: bytes) -> tuple[int, ...]:
+    def cost(self, word: bytes) -> np.ndarray:
         """The word's code length in each language."""
-        text = b" " + word + b" "
-        total = [0] * len(self.langs)
+        text, order, code, escape = b" " + word + b" ", self.order, self.code.get, self.escape.get
+        total = 0
         for i in range(1, len(text)):
-            at = max(0, i - self.order)
-            while (got := self.code.get(text[at : i + 1])) is None:
-                if (e := self.escape.get(text[at:i])) is not None:
-                    total = [a + b for a, b in zip(total, e, strict=True)]
+            at = i - order if i > order else 0
+            while (got := code(text[at : i + 1])) is None:
+                total += escape(text[at:i], 0)
                 if at == i:
                     got = self.none
                     break
                 at += 1
-            total = [a + b for a, b in zip(total, got, strict=True)]
-        return tuple(total)
+            total += got
+        return np.frombuffer(total.to_bytes(8 * len(self.langs), "little"), "<i8")
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Model:
@@ -103,20 +112,26 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
     return Model(out, order)
 
 
-class _Costs(dict):
-    """Word -> row of the cost table, both grown as words come."""
+class _Costs:
+    """Costs of words, remembered."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.numbers: dict[str, int] = {"": 0}
         self.table = np.zeros((1024, len(model.langs)), np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        i = len(self)
-        if i == len(self.table):
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of costs for each word; '' costs nothing."""
+        if len(self.numbers) > MEMO:
+            self.numbers = {"": 0}
+        numbers = self.numbers
+        new = [w for w in words if w not in numbers]
+        while len(numbers) + len(new) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[i] = self.model.cost(word)
-        self[word] = i
-        return i
+        for w in new:
+            n = numbers[w] = len(numbers)
+            self.table[n] = self.model.cost(w.encode())
+        return self.table[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
 
 
 def identify(docs: DataFrame, model: Model, held_out: str = "pmod(crc, 4) = 2") -> DataFrame:
@@ -124,22 +139,22 @@ def identify(docs: DataFrame, model: Model, held_out: str = "pmod(crc, 4) = 2")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = _Costs(model)
-        for batch in batches:
-            langs, scores, rates = [], [], []
-            for text, raw in zip((x.as_py() for x in batch.column(1)), C.raw_texts(batch.column(1)), strict=True):
-                lang, score, rate = UNDETERMINED, 0.0, None
-                if text and model.langs and _LETTER.search(text):
-                    words = raw.lower().split()
-                    if len(costs) > MEMO:
-                        costs = _Costs(model)
-                    rows = np.fromiter(map(costs.__getitem__, words), np.int64, len(words))
-                    bits = costs.table[rows].sum(0) / UNIT
-                    best = int(bits.argmin())
-                    lang, rate = model.langs[best], float(bits[best]) / (len(raw) + 1)
-                    score = float(1 / np.exp2((bits[best] - bits) * min(1.0, 16 / len(words))).sum())
-                langs.append(lang)
-                scores.append(score)
-                rates.append(rate)
+        for batch in C.slices(batches, 1000):
+            langs, scores, rates = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
+            if model.langs:
+                words, at, starts = C.words_of(batch.column(1))
+                words = words.to_pylist()
+                # sums by document of the costs and of the words that aren't ''
+                upto = np.vstack((np.zeros((1, len(model.langs)), np.int64), np.cumsum(costs.of(words)[at], axis=0)))
+                real = np.fromiter((w != "" for w in words), np.int64, len(words))
+                counted = np.concatenate(([0], np.cumsum(real[at])))
+                sums, sizes = np.diff(upto[starts], axis=0) / UNIT, np.diff(counted[starts])
+                lengths = pc.binary_length(batch.column(1)).to_pylist()
+                for i, text in enumerate(x.as_py() for x in batch.column(1)):
+                    if text and _LETTER.search(text):
+                        bits, best = sums[i], int(sums[i].argmin())
+                        langs[i], rates[i] = model.langs[best], float(bits[best]) / (lengths[i] + 1)
+                        scores[i] = float(1 / np.exp2((bits[best] - bits) * min(1.0, 16 / int(sizes[i]))).sum())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(langs), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = C.pick(docs, "doc_id", "text").withColumn("crc", C.crc_of_id())
