@@ -7,8 +7,9 @@ trie, and a term within one edit counts as misspelled, unless the word is common
 window of WINDOW words to either side: inside quotation marks or beside a word of reporting it counts as quoted, beside
 a word of address as aimed.  The logistic model over the log counts tells what each kind is worth.
 
-Training takes at most MOST_TOXIC and MOST_CLEAN labelled documents, those with the smallest hash of doc_id.  Every
-text is scored whole.
+Training takes at most MOST_TOXIC and MOST_CLEAN labelled documents, those with the smallest hash of doc_id, and of
+those that share the least hash of their word pairs, under either of two hashes, one: else the words of a text with many
+copies would stand out.  Every text is scored whole.
 
 Defined cases: null or empty text has no hits and the score of that; a document with labels 0 and 1 counts as toxic;
 null labels and null ids are not learned from; without toxic training rows every score is 0; repeated rows stay.
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +63,13 @@ class Trie:
             half = len(term) // 2
             self.heads.setdefault(len(term), set()).add(term[:half])
             self.tails.setdefault(len(term), set()).add(term[half:])
+        self.starts = {h[:2] for heads in self.heads.values() for h in heads}
+        self.ends = {t[-2:] for tails in self.tails.values() for t in tails}
 
     def may_be_near(self, word: str) -> bool:
         """One edit leaves the first or the second half of a term as it is."""
+        if word[:2] not in self.starts and word[-2:] not in self.ends:
+            return False
         n = len(word)
         for size in (n - 1, n, n + 1):
             if (heads := self.heads.get(size)) and (word[: size // 2] in heads or word[size // 2 - size :] in self.tails[size]):
@@ -97,22 +103,25 @@ class Trie:
 
 class Lexicon:
     def __init__(self, terms: set[str], stems: set[str], leaning: set[str], clean: set[str]) -> None:
-        self.terms, self.stems, self.leaning, self.clean = terms, stems, leaning, clean
+        self.terms, self.stems, self.leaning = terms, stems, leaning
         self.trie = Trie(t for t in terms if len(t) >= 4)
+        self.starts = {s[: STEM[0]] for s in stems | leaning}
+        self.known = {w: self._stem(w) for w in clean} | dict.fromkeys(terms, TERM)
 
-    def kind(self, token: str) -> int:
-        """What kind of hit this word of a text is."""
-        word = token.strip(_MARKS)
-        if not word:
+    def _stem(self, word: str) -> int:
+        if word[: STEM[0]] not in self.starts:
             return NONE
-        if word in self.terms:
-            return TERM
         if any(word[:k] in self.stems for k in STEM):
             return STEMMED
-        if any(word[:k] in self.leaning for k in STEM):
-            return LEANING
-        if word in self.clean:
-            return NONE
+        return LEANING if any(word[:k] in self.leaning for k in STEM) else NONE
+
+    def kind(self, token: str) -> int:
+        """What kind of hit this word of a text is."""
+        word = token.strip(_MARKS)
+        if (kind := self.known.get(word)) is not None:
+            return kind
+        if kind := self._stem(word):
+            return kind
         if not word.isalpha():
             plain = word.translate(_LOOKS)
             plain = "".join(c for c in plain if c.isalpha())
@@ -126,38 +135,45 @@ class Lexicon:
         return NONE
 
 
-class _Kinds(dict):
+class _Kinds:
+    """Kinds of words, remembered."""
+
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        kind = self[token] = self.lexicon.kind(token.decode().lower())
-        return kind
-
-
-def hits(raw: bytes, kinds: _Kinds) -> tuple[float, ...]:
-    """FEATURES of a text, but for the logarithms: counts by kind, aimed, quoted; and the words."""
-    words = raw.lower().split()
-    found = bytes(map(kinds.__getitem__, words))
-    if not any(found):
-        return (0, 0, 0, 0, 0, 0, 0, len(words))
-    count = [0] * 6
-    aimed = quoted = 0
-    for m in re.finditer(rb"[^\x00]", found):
-        at = m.start()
-        around = [w.decode() for w in words[max(0, at - WINDOW) : at + WINDOW + 1]]
-        here = min(at, WINDOW)
-        before, own, after = around[:here], around[here], around[here + 1 :]
+        self.memo: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        memo, kind = self.memo, self.lexicon.kind
+        for w in words:
+            if w not in memo:
+                memo[w] = kind(w if w.isascii() else w.lower())
+        return np.fromiter(map(memo.__getitem__, words), np.int8, len(words))
+
+
+def hits(texts: pa.Array, kinds: _Kinds) -> np.ndarray:
+    """FEATURES of each text, but for the logarithms: counts by kind, aimed, quoted; and the words."""
+    coded, at, starts = C.words_of(texts)
+    words = coded.to_pylist()
+    kind = kinds.of(words)[at]
+    real = np.fromiter((w != "" for w in words), np.int64, len(words))
+    out = np.zeros((len(texts), 8))
+    out[:, 7] = np.diff(np.concatenate(([0], np.cumsum(real[at])))[starts])
+    places = np.flatnonzero(kind)
+    for place, row in zip(places.tolist(), (np.searchsorted(starts, places, side="right") - 1).tolist(), strict=True):
+        first, last = max(int(starts[row]), place - WINDOW), min(int(starts[row + 1]), place + WINDOW + 1)
+        around = [w for w in (words[i] for i in at[first:last].tolist())]
+        here = place - first
+        before, own, after = [w for w in around[:here] if w], around[here], [w for w in around[here + 1 :] if w]
         opened = any(w[0] in _QUOTES for w in (*before, own)) and any(w.rstrip(".,;:!?")[-1:] in _QUOTES and w.rstrip(".,;:!?") for w in (own, *after))
         names = {w.strip(_MARKS) for w in (*before, *after)}
         if opened or names & _REPORTING:
-            quoted += 1
+            out[row, 6] += 1
         else:
-            count[found[at]] += 1
-            aimed += bool(names & _ADDRESS)
-    return (*count[1:], aimed, quoted, len(words))
+            out[row, kind[place] - 1] += 1
+            out[row, 5] += bool(names & _ADDRESS)
+    return out
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
@@ -197,7 +213,22 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
     parts = [known.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = parts[0].unionByName(parts[1])
-    return C.stored(C.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [], []
+            for raw in C.raw_texts(batch.column(0)):
+                words = raw.lower().split()
+                pairs = {b" ".join(words[i : i + 2]) for i in range(len(words))}
+                for seed in (0, 1):
+                    keys[seed].append(min((xxhash.xxh64_intdigest(p, seed) >> 1 for p in pairs), default=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64())], ["text", "toxic", "k0", "k1"])
+
+    rows = C.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.mapInArrow(task, "text string, toxic int, k0 long, k1 long")
+    for key in ("k0", "k1"):
+        rows = rows.groupBy("toxic", key).agg(F.min(F.struct("text", "k0", "k1")).alias("r")).select("toxic", "r.*")
+    return C.stored(rows.select("text", "toxic"), "toxicity-sample")
 
 
 def _learn_terms(sample: DataFrame) -> Lexicon:
@@ -244,9 +275,8 @@ def _learn_terms(sample: DataFrame) -> Lexicon:
 def _counts(rows: DataFrame, lexicon: Lexicon, keep: int, schema: str, finish) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _Kinds(lexicon)
-        for batch in batches:
-            counts = np.array([hits(raw, kinds) for raw in C.raw_texts(batch.column(0))], np.float64).reshape(-1, 8)
-            yield finish([batch.column(i) for i in range(1, keep + 1)], counts)
+        for batch in C.slices(batches, 1000):
+            yield finish([batch.column(i) for i in range(1, keep + 1)], hits(batch.column(0), kinds))
 
     return rows.mapInArrow(task, schema)
 
@@ -294,8 +324,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _Kinds(model.lexicon)
-        for batch in batches:
-            counts = np.array([hits(raw, kinds) for raw in C.raw_texts(batch.column(1))], np.float64).reshape(-1, 8)
-            yield batch.filter(pa.array(model.scores(counts) < 0.5))
+        for batch in C.slices(batches, 1000):
+            yield batch.filter(pa.array(model.scores(hits(batch.column(1), kinds)) < 0.5))
 
     return rows.mapInArrow(task, rows.schema)
