@@ -38,8 +38,10 @@ QUANTILE = 0.995
 CHUNK_WORDS = 300_000
 #: Trusted ids up to this many are sent to every task; above, documents are joined to them.
 BROADCAST_IDS = 2_000_000
-MICRO = 1_000_000
-CHUNKS = "chunk long, doc_id long, lang string, trusted boolean, ids binary, times binary, words binary, known binary"
+#: Costs are whole numbers of 1/10000 nats; the dearest symbol costs ln 256 and the escapes, far below 2 ** 20 of them.
+UNIT = 10_000
+COST_BITS = 20
+CHUNKS = "chunk long, doc_id long, lang string, trusted boolean, n_symbols long, ids binary, times binary, words binary, known binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -66,16 +68,16 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, known, chunk = _Numbers(), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 20
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
 
         def rows_of(columns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         def words() -> pa.RecordBatch:
-            return rows_of([[chunk], [None], [None], [None], [None], [None], [b"\n".join(numbers)], [_planes(known[: len(numbers)])]])
+            return rows_of([[chunk], [None], [None], [None], [None], [None], [None], [b"\n".join(numbers)], [_planes(known[: len(numbers)])]])
 
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            ids, times, trust = [], [], [bool(x) for x in batch.column(3).to_pylist()]
+            ids, times, sizes, trust = [], [], [], [bool(x) for x in batch.column(3).to_pylist()]
             for raw, is_known in zip(C.raw_texts(batch.column(1)), trust, strict=True):
                 own = raw.lower().split()
                 got, n = np.unique(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)), return_counts=True)
@@ -83,10 +85,11 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                     if len(numbers) > len(known):
                         known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
                     known[got] += n
+                sizes.append(sum(map(len, own)) + len(own))
                 ids.append(_planes(np.diff(got, prepend=0)))
                 times.append(_planes(n))
             none = [None] * batch.num_rows
-            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), trust, ids, times, none, none])
+            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), trust, sizes, ids, times, none, none])
             if len(numbers) >= CHUNK_WORDS:
                 if len(numbers) > len(known):
                     known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
@@ -138,7 +141,7 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def costs(all_grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, cost) of every query of all_grams (code, n): minus the log probability in 1/1000000 nats."""
+    """(code, cost) of every query of all_grams (code, n): minus the log probability in 1/10000 nats."""
     n_of, key = F.shiftright("code", 40), F.expr("code & 1099511627775L")
     grams_ = C.stored(all_grams.select("code", n_of.alias("k"), key.alias("g"), "n"), "grams")
     cut = lambda c, k: F.expr(f"{c} & {(1 << 8 * k) - 1}L")
@@ -171,7 +174,7 @@ def costs(all_grams: DataFrame, order: int = ORDER) -> DataFrame:
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(own_share + F.col("mass") / F.col("total") * F.col("lower"))
         below = C.stored(rows.select("g", p.alias("p")), "probabilities")
         asked_here = grams_.where(F.col("k") == k).select("code", "g")
-        priced.append(below.join(asked_here, "g").select("code", F.round(-F.log("p") * MICRO).cast("long").alias("cost")))
+        priced.append(below.join(asked_here, "g").select("code", F.round(-F.log("p") * UNIT).cast("long").alias("cost")))
     return reduce(DataFrame.unionByName, priced)
 
 
@@ -182,46 +185,53 @@ def price_words(table: DataFrame, asked_: DataFrame, priced: DataFrame, folder:
         if not words.num_rows:
             return pa.table({"chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         chunk, text = words.column("chunk")[0].as_py(), words.column("words")[0].as_py().split(b"\n")
-        codes, cost = own.column("code").to_numpy(), own.column("cost").to_numpy()
+        both = own.column("both").to_numpy()
+        codes, cost = both >> COST_BITS, both & (1 << COST_BITS) - 1
         by = np.argsort(codes)
         code, word = grams(text, order)
         at = by[np.searchsorted(codes, code, sorter=by)]
         if not (codes[at] == code).all():
             raise ValueError("an n-gram has no cost")
         sums = np.bincount(word, weights=cost[at], minlength=len(text)).astype("<i8")
-        C.put_file(f"{folder}/{chunk}.costs", sums.tobytes() + np.fromiter(map(len, text), "<i8", len(text)).tobytes())
+        flat = np.ascontiguousarray(sums.view(np.uint8).reshape(-1, 8).T).tobytes()
+        C.put_file(f"{folder}/{chunk}.costs", len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True))
         return pa.table({"chunk": pa.array([chunk]), "n": pa.array([len(text)])})
 
     left = table.where("words is not null").select("chunk", "words")
-    right = asked_.select("chunk", "code").join(priced, "code").select("chunk", "code", "cost")
+    # an n-gram and its cost in one number: the shuffle's rows are a third smaller
+    both = F.shiftleft("code", COST_BITS) + F.least(F.col("cost"), F.lit((1 << COST_BITS) - 1))
+    right = asked_.select("chunk", "code").join(priced, "code").select("chunk", both.alias("both"))
     return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, "chunk long, n long")
 
 
 def document_costs(table: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, lang, trusted, n_symbols, nats) from the chunks and their words' costs."""
-    schema = "doc_id long, lang string, trusted boolean, n_symbols long, micro long"
+    """(doc_id, lang, trusted, n_symbols, cost) from the chunks and their words' costs."""
+    schema = "doc_id long, lang string, trusted boolean, n_symbols long, cost long"
+
+    def load(chunk: int) -> np.ndarray:
+        fs, name = C.open_fs(f"{folder}/{chunk}.costs")
+        with fs.open_input_file(name) as f:
+            data = f.readall()
+        flat = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+        return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray, np.ndarray] = None, np.zeros(0), np.zeros(0)
+        held, costs_ = None, np.zeros(0, np.int64)
         for batch in batches:
-            sizes, sums = [], []
-            for chunk, ids, times in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            sums = []
+            for chunk, ids, times in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
                 got, n = np.cumsum(_unplaned(ids.as_py())), _unplaned(times.as_py())
-                if len(got) and held[0] != chunk:
-                    fs, name = C.open_fs(f"{folder}/{chunk}.costs")
-                    with fs.open_input_file(name) as f:
-                        both = np.frombuffer(f.readall(), "<i8").reshape(2, -1)
-                    held = chunk, both[0], both[1] + 1
-                sums.append(int((held[1][got] * n).sum()) if len(got) else 0)
-                sizes.append(int((held[2][got] * n).sum()) if len(got) else 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "lang", "trusted", "n_symbols", "micro"])
+                if len(got) and held != chunk:
+                    held, costs_ = chunk, load(chunk)
+                sums.append(int((costs_[got] * n).sum()) if len(got) else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "trusted", "n_symbols", "cost"])
 
-    return table.where("words is null").select("doc_id", "lang", "trusted", "chunk", "ids", "times").mapInArrow(task, schema)
+    return table.where("words is null").select("doc_id", "lang", "trusted", "n_symbols", "chunk", "ids", "times").mapInArrow(task, schema)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(of, threshold): of each language the bin, in 1/1000 nats, that the quantile of trusted documents lies in."""
-    bins = scored.where("trusted and n_symbols > 0").groupBy("lang", F.floor(F.col("micro") / F.col("n_symbols") / 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = scored.where("trusted and n_symbols > 0").groupBy("lang", F.floor(F.col("cost") / F.col("n_symbols") / (UNIT / 1000)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     own = bins.select(F.struct("lang").alias("of"), "bin", "n")
     everywhere = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("struct<lang:string>").alias("of"), "bin", "n")
     upto = F.expr("sum(n) over (partition by of order by bin)")
@@ -250,6 +260,6 @@ def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     limit = F.lit(default).cast("long")
     for lang, t in sorted(known.items(), key=lambda x: x[0] or ""):
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(t).cast("long")).otherwise(limit)
-    mean = F.when(F.col("n_symbols") > 0, F.col("micro") / F.col("n_symbols") / MICRO)
+    mean = F.when(F.col("n_symbols") > 0, F.col("cost") / F.col("n_symbols") / UNIT)
     keep = mean.isNotNull() & F.coalesce(F.floor(mean * 1000) <= limit, F.lit(True))
     return scored.select("doc_id", "lang", "n_symbols", F.exp(mean).alias("perplexity"), F.exp((limit + 1) / 1000).alias("threshold"), "trusted", keep.alias("keep"))
