@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import id_repo, id_suffix, path_prefixes
+from .traverse import cut_lineage
 
 #: Precedence of statuses, order and number of governing decisions, moves between statuses, budget.
 PRECEDENCE = {"superseded": 4, "deprecated": 3, "rejected": 2, "accepted": 1, "proposed": 0}
@@ -147,12 +148,12 @@ def integrity(decisions: DataFrame) -> DataFrame:
     dangling = links.join(ids.select(F.col("id").alias("to")), "to", "left_anti").select(F.lit("dangling").alias("check"), "id").distinct()
     # ids that only lead to ids without links can't be on a cycle: they are taken off from the ends until none is left
     open_ = links.join(ids.select(F.col("id").alias("to")), "to", "left_semi")
-    before = -1
+    open_, before = cut_lineage(open_), -1
     while (n := open_.count()) not in (before, 0):
         before = n
         starts, ends = open_.select(F.col("id").alias("to")).distinct(), open_.select(F.col("to").alias("id")).distinct()
         open_ = open_.join(starts, "to", "left_semi").join(ends, "id", "left_semi")
-        open_ = open_.checkpoint() if open_.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else open_
+        open_ = cut_lineage(open_)
     cycle = open_.select(F.lit("cycle").alias("check"), "id").distinct()
     accepted = decisions.where("status = 'accepted'").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUDGET).select(F.lit("budget").alias("check"), F.col("n").cast("string").alias("id"))
     return duplicate.unionByName(changed).unionByName(dangling).unionByName(cycle).unionByName(accepted)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import dir_of
 from ..functions.text import half_up
+from .traverse import cut_lineage
 
 REEXPORT_DEPTH = 8
 SELF = ("self", "cls", "this")
@@ -30,23 +31,26 @@ def existing_candidate(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def chase(bindings: DataFrame, reexports: DataFrame, depth: int = REEXPORT_DEPTH) -> DataFrame:
-    """bindings (path, name, ...) followed along reexports (path, name, to_path, to_name), with a guard against cycles."""
-    out = bindings.withColumn("seen", F.array(F.struct("path", "name")))
-    steps = reexports.select(F.col("path").alias("r_path"), F.col("name").alias("r_name"), "to_path", "to_name")
-    done = F.lit(False)
-    out = out.withColumn("done", done)
+    """bindings (path, name, ...) followed along reexports (path, name, to_path, to_name); a cycle ends where it closes.
+
+    Only what has moved goes into the next round, so the rounds end with the longest chain.
+    """
+    if reexports.isEmpty():
+        return bindings
+    others = [c for c in bindings.columns if c not in ("path", "name")]
+    there = F.struct(F.col("to_path").alias("path"), F.col("to_name").alias("name"))
+    open_, done = bindings.withColumn("seen", F.array(F.struct("path", "name"))), []
     for _ in range(depth):
-        joined = out.join(steps, (F.col("path") == F.col("r_path")) & (F.col("name") == F.col("r_name")) & ~F.col("done"), "left")
-        there = F.struct(F.col("to_path").alias("path"), F.col("to_name").alias("name"))
-        moves = F.col("to_path").isNotNull()
-        out = joined.select(
-            *[c for c in bindings.columns if c not in ("path", "name")],
-            F.coalesce("to_path", "path").alias("path"),
-            F.coalesce("to_name", "name").alias("name"),
-            F.when(moves, F.concat("seen", F.array(there))).otherwise(F.col("seen")).alias("seen"),
-            (~moves | F.array_contains("seen", there)).alias("done"),
-        )
-    return out.drop("seen", "done")
+        joined = open_.join(reexports, ["path", "name"], "left").withColumn("again", F.array_contains("seen", there))
+        moved = joined.where("to_path is not null").select(*others, F.col("to_path").alias("path"), F.col("to_name").alias("name"), F.concat("seen", F.array(there)).alias("seen"), "again")
+        done += [joined.where("to_path is null").select(*others, "path", "name"), moved.where("again").select(*others, "path", "name")]
+        open_ = cut_lineage(moved.where("not again").drop("again"))
+        if open_.isEmpty():
+            break
+    out = open_.select(*others, "path", "name")
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
 
 
 def import_bindings(imports: DataFrame, files: DataFrame, funcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,12 +159,14 @@ def resolve_calls(calls: DataFrame, funcs: DataFrame, classes: DataFrame, bindin
     hit = keep(bound.join(methods, ["t_path", "t_qualified"]), "exact", 1.0)
     left = left.join(hit, "seq", "left_anti")
     # 2: a function of the same file; 3: of an imported one
+    left = cut_lineage(left)
     bare = left.where("receiver is null")
     hit = keep(bare.join(free, (bare.caller_path == free.t_path) & (bare.callee == free.t_name)), "exact", 1.0)
     bare = bare.join(hit, "seq", "left_anti")
     names = bindings.select(F.col("file_id").alias("caller_file_id"), F.col("local").alias("callee"), F.col("path").alias("t_path"), F.col("original").alias("t_name"))
     hit = keep(bare.join(names, ["caller_file_id", "callee"]).join(free, ["t_path", "t_name"]), "exact", 1.0)
     bare = bare.join(hit, "seq", "left_anti")
+    bare = cut_lineage(bare)
     # 3.5: candidates in the caller's directory, if there are several and the directory isn't the root
     near = bare.withColumn("t_dir", dir_of(F.col("caller_path"))).where("t_dir <> ''").join(counts.where("n > 1").select("callee"), "callee", "left_semi")
     local = by_name.groupBy("callee", "t_dir").agg(F.count(F.lit(1)).alias("n_local"))
@@ -185,10 +191,11 @@ def _best(rows: DataFrame, count: str) -> DataFrame:
 
 def call_edges(calls: DataFrame, resolved: DataFrame, classes: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """CALLS edges, INSTANTIATES edges of bare calls that name a class, and the bare calls without any target."""
+    resolved = cut_lineage(resolved)
     exact = resolved.where("confidence >= 1.0").select("seq").distinct()
     open_ = calls.where("receiver is null").join(exact, "seq", "left_anti")
     refs = open_.select(F.col("seq").alias("ref"), F.col("caller_id").alias("from_id"), F.col("caller_path").alias("from_path"), F.col("caller_file_id").alias("from_file_id"), F.col("callee").alias("base"))
-    lifted = resolve_types(refs, classes, bindings).withColumnRenamed("ref", "seq")
+    lifted = cut_lineage(resolve_types(refs, classes, bindings).withColumnRenamed("ref", "seq"))
     kept = resolved.join(lifted, "seq", "left_anti")
     made = lifted.join(calls.select("seq", "caller_id"), "seq")
     edges = _best(kept.select("seq", F.col("caller_id").alias("src"), F.col("target").alias("dst"), "resolution", "confidence"), "call_sites")

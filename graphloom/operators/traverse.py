@@ -1,12 +1,13 @@
 """Bounded traversal over edges (src, dst).
 
-Breadth-first levels are joins of the frontier with the edges and an anti-join with what was seen; each level is
-written to the shared checkpoint folder when one is set, so the plan of level n doesn't hold those before it and a lost
-executor costs one level.
+Breadth-first levels are joins of the frontier with the edges and an anti-join with what was seen; each level is a
+checkpoint in the shared folder, so the plan of level n doesn't hold those before it and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ MAX_NODES = 500
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; the plan as it is where none is set."""
-    held = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    return df.checkpoint() if held.isDefined() else df
+    """A checkpoint in the shared folder of spark.checkpoint.dir; in one of our own only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
 
 
 def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def _(spark, d):
     return merge.graft(_snapshots(spark, d)[1].select("id", "content_hash"), s)
 
 
-_RECORDS = "rc AS (SELECT user_id AS id, CASE WHEN event_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS at, props AS line, (event_id % 3)::INT AS source FROM events)"
+_RECORDS = "rc AS (SELECT user_id AS id, CASE WHEN event_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS \"at\", props AS line, (event_id % 3)::INT AS source FROM events)"
 
 
 def _records(spark, d):
@@ -90,12 +90,12 @@ def _records(spark, d):
     return e.select(F.col("user_id").alias("id"), F.when(F.col("event_id") % 13 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("at"), F.col("props").alias("line"), (F.col("event_id") % 3).cast("int").alias("source"))
 
 
-@query("set09_fold", f"WITH {_RECORDS}, u AS (SELECT DISTINCT id, at, line FROM rc), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY coalesce(at, '') DESC, line) AS n FROM u), m AS (SELECT id, line AS w FROM r WHERE n = 1) SELECT id, line, at, line = w AS won FROM u JOIN m USING (id)")
+@query("set09_fold", f"WITH {_RECORDS}, u AS (SELECT DISTINCT id, \"at\", line FROM rc), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY coalesce(\"at\", '') DESC, line) AS n FROM u), m AS (SELECT id, line AS w FROM r WHERE n = 1) SELECT id, line, \"at\", line = w AS won FROM u JOIN m USING (id)")
 def _(spark, d):
     return merge.fold(_records(spark, d))
 
 
-@query("set10_fold_sources", f"WITH {_RECORDS}, w AS (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY coalesce(at, '') DESC, line) AS n FROM rc), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(at, '') DESC, source DESC) AS k FROM w WHERE n = 1) SELECT id, line, at, source FROM r WHERE k = 1")
+@query("set10_fold_sources", f"WITH {_RECORDS}, w AS (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY coalesce(\"at\", '') DESC, line) AS n FROM rc), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(\"at\", '') DESC, source DESC) AS k FROM w WHERE n = 1) SELECT id, line, \"at\", source FROM r WHERE k = 1")
 def _(spark, d):
     return merge.fold_sources(_records(spark, d))
 
@@ -372,7 +372,7 @@ def _(spark, d):
     return decisions.listed(_decisions(spark, d)[0], "accepted").select("id", "status", "decided_at")
 
 
-@query("dec09_supersession", "WITH dc AS (SELECT s_suppkey AS id, [s_suppkey * 2, s_suppkey + 1] AS s, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 7 END AS by FROM supplier), l AS (SELECT unnest(s) AS id, id AS b FROM dc), m AS (SELECT id, min(b) AS b FROM l GROUP BY 1) SELECT dc.id, coalesce(by, b) AS superseded_by FROM dc LEFT JOIN m ON m.id = dc.id")
+@query("dec09_supersession", "WITH dc AS (SELECT s_suppkey AS id, [s_suppkey * 2, s_suppkey + 1] AS s, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 7 END AS sb FROM supplier), l AS (SELECT unnest(s) AS id, id AS b FROM dc), m AS (SELECT id, min(b) AS b FROM l GROUP BY 1) SELECT dc.id, coalesce(sb, b) AS superseded_by FROM dc LEFT JOIN m ON m.id = dc.id")
 def _(spark, d):
     k = F.col("s_suppkey")
     decs = W.table(spark, d, "supplier").select(k.alias("id"), F.array(k * 2, k + 1).alias("supersedes"), F.when(k % 10 == 0, k + 7).alias("superseded_by"))
