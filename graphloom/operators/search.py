@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, tokenize
+from .traverse import cut_lineage
 
 #: Fixed values of the ranking functions.
 WEIGHTS = {"qualified_name": 10.0, "name": 8.0, "summary": 4.0, "signature": 2.0, "file_path": 1.0}
@@ -30,8 +31,8 @@ def query_tokens(query: str) -> list[str]:
 def bm25f(corpus: DataFrame, query: str, limit: int | None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(id, score, matched) of corpus (id and the weighted fields): BM25F, saturated by field before weighing.
 
-    One pass takes the statistics of all fields (one row to the driver), a second scores; nothing is shuffled but the
-    final top rows.
+    Texts are tokenized once, to the counts that the query needs; from that small table one pass takes the statistics of
+    all fields (one row to the driver) and another scores.  Nothing is shuffled but the final top rows.
     """
     tokens = query_tokens(query)
     fields = list(weights)
@@ -39,7 +40,7 @@ def bm25f(corpus: DataFrame, query: str, limit: int | None, weights: dict[str, f
         return corpus.select("id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched")).limit(0)
     docs = corpus.select("id", *(tokenize(F.col(f)).alias(f) for f in fields))
     tf = lambda f, t: F.size(F.filter(f, lambda x: x == t))
-    lean = docs.select("id", *(F.size(f).alias(f"n_{f}") for f in fields), *(tf(f, t).alias(f"tf_{i}_{f}") for f in fields for i, t in enumerate(tokens)))
+    lean = cut_lineage(docs.select("id", *(F.size(f).alias(f"n_{f}") for f in fields), *(tf(f, t).alias(f"tf_{i}_{f}") for f in fields for i, t in enumerate(tokens))))
     has = [reduce(Column.__or__, (F.col(f"tf_{i}_{f}") > 0 for f in fields)) for i in range(len(tokens))]
     stats = lean.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in fields), *(F.sum(h.cast("long")).alias(f"df_{i}") for i, h in enumerate(has))).first()
     n = stats["n"]
