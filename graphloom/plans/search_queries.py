@@ -84,17 +84,17 @@ def _quality(token: str, value: str) -> str:
     return f"CASE WHEN {v} = '{token}' THEN 1.0 WHEN starts_with({v}, '{token}') THEN 0.7 WHEN NOT contains({v}, '{token}') THEN 0.0 WHEN regexp_matches({v}[instr({v}, '{token}') - 1], '[a-z0-9]') THEN 0.25 ELSE 0.5 END"
 
 
-_BEST = {t: "greatest(" + ", ".join(f"{_quality(t, f)} * {w!r}" for f, w in search.VIEWER_WEIGHTS.items()) + ")" for t in ("tin", "brand#2")}
+_BEST = {t: "greatest(" + ", ".join(f"{_quality(t, f)} * {w!r}" for f, w in search.VIEWER_WEIGHTS.items()) + ")" for t in ("medium", "brand#2")}
 
 
-@query("rnk07_weighted_search", f"WITH {W.PARTS}, s AS (SELECT id, name, ({_BEST['tin']})::DOUBLE AS a, ({_BEST['brand#2']})::DOUBLE AS b FROM parts) SELECT id, name, a + b AS score FROM s WHERE a > 0 AND b > 0 ORDER BY score DESC, name, id LIMIT 50")
+@query("rnk07_weighted_search", f"WITH {W.PARTS}, s AS (SELECT id, name, ({_BEST['medium']})::DOUBLE AS a, ({_BEST['brand#2']})::DOUBLE AS b FROM parts) SELECT id, name, floor((a + b) * 1e6 + 0.5) / 1e6 AS score FROM s WHERE a > 0 AND b > 0 ORDER BY score DESC, name, id LIMIT 50")
 def _(spark, d):
-    return search.weighted_search(W.parts(spark, d), "Tin BRAND#2", 50)
+    return search.weighted_search(W.parts(spark, d), "Medium BRAND#2", 50).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
 
 
-@query("rnk08_bucket", f"WITH {W.PARTS}, s AS (SELECT id, ({_quality('tin', 'summary')})::DOUBLE AS q FROM parts) SELECT id, CASE WHEN q >= 0.7 THEN 'strong' WHEN q > 0 THEN 'weak' ELSE 'none' END AS bucket FROM s")
+@query("rnk08_bucket", f"WITH {W.PARTS}, s AS (SELECT id, ({_quality('medium', 'summary')})::DOUBLE AS q FROM parts) SELECT id, CASE WHEN q >= 0.7 THEN 'strong' WHEN q > 0 THEN 'weak' ELSE 'none' END AS bucket FROM s")
 def _(spark, d):
-    q = search.match_quality("tin", F.col("summary"))
+    q = search.match_quality("medium", F.col("summary"))
     return W.parts(spark, d).select("id", F.when(q >= 0.7, "strong").when(q > 0, "weak").otherwise("none").alias("bucket"))
 
 
@@ -240,12 +240,12 @@ def _(spark, d):
     return guard.run_read_only(spark, "SELECT p_brand AS brand, count(*) AS n FROM graphloom_nodes WHERE p_size > :size GROUP BY p_brand ORDER BY n DESC, brand", args={"size": 10})
 
 
-@query("flt01_lookups", f"WITH {W.PARTS} SELECT id, name, qualified_name, file_path, CASE WHEN id = 7 THEN 'id' WHEN file_path = 'STANDARD/ANODIZED/TIN/Brand#11' THEN 'path' ELSE 'name' END AS via FROM parts WHERE id = 7 OR (file_path = 'STANDARD/ANODIZED/TIN/Brand#11') OR name = (SELECT min(name) FROM parts)")
+@query("flt01_lookups", f"WITH {W.PARTS} SELECT id, name, qualified_name, file_path, CASE WHEN id = 7 THEN 'id' WHEN file_path = 'PROMO/Brand#2' THEN 'path' ELSE 'name' END AS via FROM parts WHERE id = 7 OR (file_path = 'PROMO/Brand#2') OR name = (SELECT min(name) FROM parts)")
 def _(spark, d):
     p = W.parts(spark, d)
     least = p.agg(F.min("name").alias("least"))
-    rows = p.join(F.broadcast(least), (F.col("id") == 7) | (F.col("file_path") == "STANDARD/ANODIZED/TIN/Brand#11") | (F.col("name") == F.col("least")))
-    return rows.select("id", "name", "qualified_name", "file_path", F.when(F.col("id") == 7, "id").when(F.col("file_path") == "STANDARD/ANODIZED/TIN/Brand#11", "path").otherwise("name").alias("via"))
+    rows = p.join(F.broadcast(least), (F.col("id") == 7) | (F.col("file_path") == "PROMO/Brand#2") | (F.col("name") == F.col("least")))
+    return rows.select("id", "name", "qualified_name", "file_path", F.when(F.col("id") == 7, "id").when(F.col("file_path") == "PROMO/Brand#2", "path").otherwise("name").alias("via"))
 
 
 @query("flt06_corpus", f"WITH {W.PARTS} SELECT id, name, coalesce(nullif(qualified_name, ''), name) AS qualified_name, file_path FROM parts WHERE id % 3 <> 0 ORDER BY id")
