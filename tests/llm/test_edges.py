@@ -120,3 +120,17 @@ def test_decontamination(spark, docs, none):
     assert (3, 6, 3, 1) in got and (4, 0, 0, 0) in got and (None, 5, 3, 0) in got
     assert decontaminate.contamination(none, bench).collect() == []
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, bench.limit(0)).collect())
+
+
+def test_names_that_differ_in_case_only(spark):
+    docs = spark.createDataFrame([(1, "other", "one two", "en", "s", 7, None, 9)], "Doc_ID long, TEXT string, text string, lang string, source string, n_chars long, Lang string, doc_id long")
+    labels = spark.createDataFrame([(9, 1, 1, 0)], "doc_id long, toxic int, quality int, TOXIC int")
+    bench = spark.createDataFrame([(1, "one two", "no")], "item_id long, text string, TEXT string")
+    assert decontaminate.contamination(docs, bench).first().n_hit == 2
+    assert simhash.simhash_components(docs).first().component_id == 9
+    assert simhash.one_of_each(docs).first().text == "one two"
+    assert mpeg_audio.media_features(docs).first().n_bytes == 7
+    assert language.identify_held_out(docs).count() == toxicity.score_held_out(docs, labels).count() == kneser_ney.perplexity(docs, labels).count() == 1
+    assert mixing.mix(docs, queries.mixing_targets()).first().source == "s"
+    pages = spark.createDataFrame([(1, "u", "<p>a", "<p>b")], "page_id long, url string, html string, HTML string")
+    assert html_extract.extract(pages).first().text == "a" and warc.round_trip(pages).first().payload_bytes == 4
