@@ -82,9 +82,11 @@ def crumbs(labels: Column, most: int = 4) -> Column:
 
 def segment_counts(bundles: DataFrame, budget: int, least: int = 1) -> DataFrame:
     """(id, segments) of bundles (id, weight): at least `least` each, the rest of the budget by weight."""
-    totals = bundles.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-    spare = F.greatest(F.lit(0), F.lit(budget) - F.col("n") * least)
-    return bundles.join(F.broadcast(totals)).select("id", (F.lit(least) + F.floor(F.when(F.col("total") > 0, F.col("weight") / F.col("total") * spare).otherwise(0))).cast("int").alias("segments"))
+    whole = bundles.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    spare = max(0, budget - whole["n"] * least)
+    if not whole["total"]:
+        return bundles.select("id", F.lit(least).alias("segments"))
+    return bundles.select("id", (F.lit(least) + F.floor(F.col("weight") / whole["total"] * spare)).cast("int").alias("segments"))
 
 
 def decision_markdown(record: dict, number: int) -> tuple[str, str]:

@@ -243,9 +243,9 @@ def _(spark, d):
 @query("flt01_lookups", f"WITH {W.PARTS} SELECT id, name, qualified_name, file_path, CASE WHEN id = 7 THEN 'id' WHEN file_path = 'PROMO/Brand#2' THEN 'path' ELSE 'name' END AS via FROM parts WHERE id = 7 OR (file_path = 'PROMO/Brand#2') OR name = (SELECT min(name) FROM parts)")
 def _(spark, d):
     p = W.parts(spark, d)
-    least = p.agg(F.min("name").alias("least"))
-    rows = p.join(F.broadcast(least), (F.col("id") == 7) | (F.col("file_path") == "PROMO/Brand#2") | (F.col("name") == F.col("least")))
-    return rows.select("id", "name", "qualified_name", "file_path", F.when(F.col("id") == 7, "id").when(F.col("file_path") == "PROMO/Brand#2", "path").otherwise("name").alias("via"))
+    least, path = p.agg(F.min("name")).first()[0], F.col("file_path") == "PROMO/Brand#2"
+    rows = p.where((F.col("id") == 7) | path | (F.col("name") == least))
+    return rows.select("id", "name", "qualified_name", "file_path", F.when(F.col("id") == 7, "id").when(path, "path").otherwise("name").alias("via"))
 
 
 @query("flt06_corpus", f"WITH {W.PARTS} SELECT id, name, coalesce(nullif(qualified_name, ''), name) AS qualified_name, file_path FROM parts WHERE id % 3 <> 0 ORDER BY id")
