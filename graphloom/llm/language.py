@@ -107,8 +107,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
     out: dict[str, dict[bytes, int]] = {lang: {} for lang in sizes}
-    for r in picked.select("text", "lang").mapInArrow(task, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        out[r.lang][bytes(r.word)] = r.n
+    # as Arrow: a Python row for each word would take most of a driver's memory
+    found = picked.select("text", "lang").mapInArrow(task, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    for batch in found.to_batches(max_chunksize=10_000):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out[lang][word] = n
     return Model(out, order)
 
 
