@@ -1,8 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Symbols are the bytes of a word (A-Z lower-cased, split at white space) and the space that ends it; a word begins in the
-context of a space, so contexts end at word boundaries and an n-gram has at most ORDER bytes.  Distinct n-grams of that
-kind are few beside the text, and a text's code length is a sum over its words.
+Symbols are the bytes of a text's words (A-Z lower-cased, split at white space) and the space that ends each; an n-gram
+has at most ORDER bytes.  With across, contexts run over word boundaries and only a text begins anew, in the context of
+a space: the order and the repetition of words count.  Without it each word begins in the context of a space, and a
+text's code length is a sum over its words.  Distinct n-grams of either kind are few beside the text.
 
 1. A pass over the documents writes chunks: a chunk's distinct words with their counts in trusted text, and per document
    the numbers of its words and how often each occurs.  A chunk ends at CHUNK_WORDS distinct words.
@@ -11,6 +12,9 @@ kind are few beside the text, and a text's code length is a sum over its words.
 3. Queries join the counts, the contexts and the next lower order, shard by shard, from order 1 up.
 4. The costs go back to the chunks that asked, where words are priced; a second pass adds up each document.
 
+With across a chunk holds its documents' bytes and their distinct n-grams instead of words, and ends at CHUNK_GRAMS of
+those; steps 2 and 3 are the same, and the second pass prices each symbol of a document by its n-gram.
+
 Thresholds: per language, the quantile of trusted documents' mean cost, from a histogram of bins of 1/1000 nat, so it
 depends on no order and no row is left out.  A document is kept if its mean cost doesn't exceed its language's threshold.
 
@@ -36,12 +40,16 @@ from . import _common as C
 ORDER = 5
 QUANTILE = 0.995
 CHUNK_WORDS = 300_000
+CHUNK_GRAMS = 1_000_000
+#: Symbols handled at once; longer texts are cut, each piece with the ORDER - 1 bytes before it.
+PIECE = 1 << 19
 #: Trusted ids up to this many are sent to every task; above, documents are joined to them.
 BROADCAST_IDS = 2_000_000
 #: Costs are whole numbers of 1/10000 nats; the dearest symbol costs ln 256 and the escapes, far below 2 ** 20 of them.
 UNIT = 10_000
 COST_BITS = 20
 CHUNKS = "chunk long, doc_id long, lang string, trusted boolean, n_symbols long, ids binary, times binary, words binary, known binary"
+TEXTS = "chunk long, doc_id long, lang string, trusted boolean, n_symbols long, text binary, codes binary, known binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -59,11 +67,15 @@ class _Numbers(dict):
         return n
 
 
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Documents as (doc_id, text, lang, trusted); trusted: doc_id."""
+    few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = trusted.withColumn("trusted", F.lit(True))
+    return C.pick(docs, "doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", "lang", "trusted")
+
+
 def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang) as rows of word numbers, and a row of words for each chunk; trusted: doc_id."""
-    few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = trusted.withColumn("trusted", F.lit(True))
-    rows = C.pick(docs, "doc_id", "text", "lang").join(F.broadcast(marked) if few else marked, "doc_id", "left")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, known, chunk = _Numbers(), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 20
@@ -100,21 +112,105 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
             yield words()
 
-    return C.stored(rows.select("doc_id", "text", "lang", "trusted").mapInArrow(task, CHUNKS), "chunks")
+    return C.stored(marked(docs, trusted).mapInArrow(task, CHUNKS), "chunks")
 
 
-def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol of the words: the n-gram that it ends, as n << 40 | bytes, and the number of its word."""
-    flat = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), sizes)
+def _codes(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray | int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol of runs of bytes, behind the first leads of each: its n-gram as n << 40 | bytes, and its run's number."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     key = np.zeros(len(flat), np.int64)
-    for back in range(order):
+    for back in range(min(order, len(flat))):
         key[back:] |= flat[: len(flat) - back] << 8 * back
     n = np.minimum(place + 1, order)
     code = n << 40 | key & ((np.int64(1) << 8 * n) - 1)
-    return code[place > 0], word[place > 0]
+    own = place >= (leads if isinstance(leads, int) else np.repeat(leads, sizes))
+    return code[own], run[own]
+
+
+def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol of the words: the n-gram that it ends, as n << 40 | bytes, and the number of its word."""
+    flat = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
+    return _codes(flat, np.fromiter(map(len, words), np.int64, len(words)) + 2, 1, order)
+
+
+def text_grams(texts: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Like grams() for whole texts (words with one space between them), about PIECE symbols at a time; empty ones have none."""
+    runs, leads, owner, size = [], [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(runs), np.uint8).astype(np.int64)
+        code, run = _codes(flat, np.fromiter(map(len, runs), np.int64, len(runs)), np.array(leads), order)
+        return code, np.array(owner)[run]
+
+    for i, text in enumerate(texts):
+        whole = b" " + text + b" " if text else b""
+        for at in range(1, len(whole), PIECE):
+            begin = max(0, at - order + 1) if at > 1 else 0
+            runs.append(whole[begin : at + PIECE])
+            leads.append(at - begin)
+            owner.append(i)
+            size += len(runs[-1])
+            if size >= PIECE:
+                yield out()
+                runs, leads, owner, size = [], [], [], 0
+    if runs:
+        yield out()
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return own, np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+
+
+def text_chunks(docs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
+    """Documents (doc_id, text, lang) as rows of bytes, and a row of distinct n-grams for each chunk; trusted: doc_id."""
+    names = [c.split()[0] for c in TEXTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), *[pa.binary()] * 3]
+
+    def rows_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, codes, counts = TaskContext.get().partitionId() << 20, [], []
+
+        def row() -> pa.RecordBatch:
+            return rows_of([[chunk], [None], [None], [None], [None], [None], [np.diff(codes[0], prepend=0).astype("<i8").tobytes()], [counts[0].astype("<i8").tobytes()]])
+
+        for batch in C.slices(batches, 500):
+            trust = np.array([bool(x) for x in batch.column(3).to_pylist()], bool)
+            texts = [b" ".join(raw.lower().split()) for raw in C.raw_texts(batch.column(1))]
+            for code, text in text_grams(texts, order):
+                known = trust[text]
+                for part, is_known in ((code[known], 1), (code[~known], 0)):
+                    own, n = np.unique(part, return_counts=True)
+                    codes.append(own)
+                    counts.append(n * is_known)
+                if sum(map(len, codes[1:])) >= CHUNK_GRAMS:
+                    codes, counts = ([x] for x in _summed(codes, counts))
+            none = [None] * batch.num_rows
+            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), trust.tolist(), [len(t) + 1 if t else 0 for t in texts], texts, none, none])
+            if codes and len(codes[0]) >= CHUNK_GRAMS:
+                codes, counts = ([x] for x in _summed(codes, counts))
+                yield row()
+                chunk, codes, counts = chunk + 1, [], []
+        if codes:
+            codes, counts = ([x] for x in _summed(codes, counts))
+            yield row()
+
+    return C.stored(marked(docs, trusted).mapInArrow(task, TEXTS), "chunks")
+
+
+def text_asked(table: DataFrame) -> DataFrame:
+    """asked() of text_chunks()."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, codes, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = np.cumsum(np.frombuffer(codes.as_py(), "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(np.frombuffer(known.as_py(), "<i8"))], ["chunk", "code", "n"])
+
+    return table.where("codes is not null").select("chunk", "codes", "known").mapInArrow(task, "chunk long, code long, n long")
 
 
 def asked(table: DataFrame, order: int) -> DataFrame:
@@ -229,6 +325,52 @@ def document_costs(table: DataFrame, folder: str) -> DataFrame:
     return table.where("words is null").select("doc_id", "lang", "trusted", "n_symbols", "chunk", "ids", "times").mapInArrow(task, schema)
 
 
+def price_grams(asked_: DataFrame, priced: DataFrame, folder: str) -> DataFrame:
+    """Writes each chunk's n-grams and their costs beside the shared tables; returns (chunk, n)."""
+
+    def task(own: pa.Table) -> pa.Table:
+        both = own.column("both").to_numpy()
+        both = both[np.argsort(both >> COST_BITS)]
+        data = both.astype("<i8").tobytes()
+        chunk = own.column("chunk")[0].as_py()
+        C.put_file(f"{folder}/{chunk}.costs", len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True))
+        return pa.table({"chunk": pa.array([chunk]), "n": pa.array([len(both)])})
+
+    both = F.shiftleft("code", COST_BITS) + F.least(F.col("cost"), F.lit((1 << COST_BITS) - 1))
+    rows = asked_.select("chunk", "code").join(priced, "code").select("chunk", both.alias("both"))
+    return rows.groupBy("chunk").applyInArrow(task, "chunk long, n long")
+
+
+def text_costs(table: DataFrame, folder: str, order: int) -> DataFrame:
+    """document_costs() of text_chunks()."""
+    schema = "doc_id long, lang string, trusted boolean, n_symbols long, cost long"
+
+    def load(chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        fs, name = C.open_fs(f"{folder}/{chunk}.costs")
+        with fs.open_input_file(name) as f:
+            data = f.readall()
+        both = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), "<i8")
+        return both >> COST_BITS, both & (1 << COST_BITS) - 1
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, codes, costs_ = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in C.slices(batches, 500):
+            chunk, sums = np.array(batch.column(4).to_pylist(), np.int64), np.zeros(batch.num_rows, np.int64)
+            texts = [x.as_py() for x in batch.column(5)]
+            for c in dict.fromkeys(chunk.tolist()):
+                for code, text in text_grams((t if own else b"" for t, own in zip(texts, chunk == c, strict=True)), order):
+                    if held != c:
+                        held, (codes, costs_) = c, load(c)
+                    got, back = np.unique(code, return_inverse=True)
+                    at = np.minimum(np.searchsorted(codes, got), len(codes) - 1)
+                    if not (codes[at] == got).all():
+                        raise ValueError("an n-gram has no cost")
+                    sums += np.bincount(text, weights=costs_[at][back], minlength=len(sums)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "trusted", "n_symbols", "cost"])
+
+    return table.where("codes is null").select("doc_id", "lang", "trusted", "n_symbols", "chunk", "text").mapInArrow(task, schema)
+
+
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(of, threshold): of each language the bin, in 1/1000 nats, that the quantile of trusted documents lies in."""
     bins = scored.where("trusted and n_symbols > 0").groupBy("lang", F.floor(F.col("cost") / F.col("n_symbols") / (UNIT / 1000)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -240,19 +382,20 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.where(F.col("upto") >= F.ceil(F.col("whole") * quantile)).groupBy("of").agg(F.min("bin").alias("threshold"))
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, across: bool = False) -> DataFrame:
     """Per document of docs (doc_id, text, lang): n_symbols, perplexity by symbol, its language's threshold, and keep.
 
-    labels (doc_id, quality): quality 1 marks trusted text.
+    labels (doc_id, quality): quality 1 marks trusted text.  across: contexts run over word boundaries.
     """
     spark = docs.sparkSession
     trusted = C.pick(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    table = chunks(docs, trusted)
-    asked_ = asked(table, order)
+    table = text_chunks(docs, trusted, order) if across else chunks(docs, trusted)
+    asked_ = text_asked(table) if across else asked(table, order)
     priced = costs(asked_.groupBy("code").agg(F.sum("n").alias("n")), order)
     folder = C.shared_folder(spark, "word-costs")
-    price_words(table, asked_, priced, folder, order).agg(F.sum("n")).collect()
-    scored = C.stored(document_costs(table, folder), "scored")
+    written = price_grams(asked_, priced, folder) if across else price_words(table, asked_, priced, folder, order)
+    written.agg(F.sum("n")).collect()
+    scored = C.stored(text_costs(table, folder, order) if across else document_costs(table, folder), "scored")
     # languages are few: the table has a row for each
     limits = {r.of: r.threshold for r in thresholds(scored, quantile).collect()}
     default = limits.pop(None, None)

@@ -67,7 +67,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import perplexity
 
-    return perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), across=True)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
