@@ -149,16 +149,25 @@ def _(spark, d):
     return tree.source_slices(nodes, docs.select(F.col("doc_id").alias("path"), F.col("text").alias("source")), 20_000)
 
 
-@query("flt05_target_ladder", f"WITH {W.PARTS}, q AS (SELECT c_custkey AS q, c_custkey * 2 AS id, 'x' AS path, (SELECT min(name) FROM parts) AS name FROM customer WHERE c_custkey % 50 = 0), a AS (SELECT q, parts.id FROM q JOIN parts ON parts.id = q.id), b AS (SELECT q, parts.id FROM q JOIN parts ON parts.name = q.name WHERE q NOT IN (SELECT q FROM a)), u AS (SELECT q, id, 1 AS rung FROM a UNION ALL SELECT q, id, 3 FROM b) SELECT q, min(rung) AS rung, count(*) AS candidates, min(id) AS id FROM u GROUP BY 1")
-def _(spark, d):
+def _target_ladder(spark, d, customers):
     p = W.parts(spark, d)
     name = F.lit(p.agg(F.min("name")).first()[0])
-    q = W.table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), (F.col("c_custkey") * 2).alias("wanted"), name.alias("name"))
+    q = customers.select(F.col("c_custkey").alias("q"), (F.col("c_custkey") * 2).alias("wanted"), name.alias("name"))
     by_id = q.join(p.select(F.col("id").alias("wanted"), "id"), "wanted").select("q", "id", F.lit(1).alias("rung"))
     by_name = q.join(by_id, "q", "left_anti").join(p.select("name", "id"), "name").select("q", "id", F.lit(3).alias("rung"))
     return by_id.unionByName(by_name).groupBy("q").agg(F.min("rung").alias("rung"), F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id"))
 
 
+@query("flt05_target_ladder", f"WITH {W.PARTS}, q AS (SELECT c_custkey AS q, c_custkey * 2 AS id, 'x' AS path, (SELECT min(name) FROM parts) AS name FROM customer WHERE c_custkey % 50 = 0), a AS (SELECT q, parts.id FROM q JOIN parts ON parts.id = q.id), b AS (SELECT q, parts.id FROM q JOIN parts ON parts.name = q.name WHERE q NOT IN (SELECT q FROM a)), u AS (SELECT q, id, 1 AS rung FROM a UNION ALL SELECT q, id, 3 FROM b) SELECT q, min(rung) AS rung, count(*) AS candidates, min(id) AS id FROM u GROUP BY 1")
+def _(spark, d):
+    return _target_ladder(spark, d, W.table(spark, d, "customer").where("c_custkey % 50 = 0"))
+
+
+@query("flt05_target_ladder_whole")
+def _(spark, d):
+    return _target_ladder(spark, d, W.table(spark, d, "customer"))
+
+
 @query("flt11_lens", f"WITH {W.TYPED}, l(lens, type) AS (VALUES ('calls', 'CALLS'), ('types', 'INHERITS'), ('types', 'IMPLEMENTS'), ('modules', 'IMPORTS')) SELECT lens, count(*) AS n, sum(call_sites)::BIGINT AS sites FROM te JOIN l USING (type) GROUP BY 1")
 def _(spark, d):
     e = W.typed_edges(spark, d)

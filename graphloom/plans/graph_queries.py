@@ -89,6 +89,12 @@ def _(spark, d):
     return traverse.callees_at_two(e, seeds)
 
 
+@query("trv03_callees_2hop_whole")
+def _(spark, d):
+    e = W.edges(spark, d)
+    return traverse.callees_at_two(e, e.select(F.col("src").alias("id")).distinct())
+
+
 @query("trv04_profile", f"""WITH {W.EDGES}, s AS (SELECT DISTINCT dst AS target FROM ed WHERE dst % 10 = 0),
 u AS (SELECT target, src AS id, row_number() OVER (PARTITION BY target ORDER BY src) AS r FROM ed JOIN s ON dst = target),
 w AS (SELECT target, dst AS id, row_number() OVER (PARTITION BY target ORDER BY dst) AS r FROM ed JOIN s ON src = target),
@@ -102,6 +108,12 @@ def _(spark, d):
     return traverse.profile(e, e.where("dst % 10 = 0").select(F.col("dst").alias("id")).distinct())
 
 
+@query("trv04_profile_whole")
+def _(spark, d):
+    e = W.edges(spark, d)
+    return traverse.profile(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+
+
 @query("trv05_impact_d2", _SEED + ", r(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT ed.src, depth + 1 FROM r JOIN ed ON ed.dst = r.id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1 HAVING min(depth) > 0")
 def _(spark, d):
     e = W.edges(spark, d)
@@ -146,6 +158,11 @@ def _(spark, d):
     return traverse.both_ways(W.edges(spark, d)).where("a % 20 = 0").select(F.col("a").alias("id"), F.col("b").alias("neighbor")).distinct()
 
 
+@query("trv08_neighbors_whole")
+def _(spark, d):
+    return traverse.both_ways(W.edges(spark, d)).select(F.col("a").alias("id"), F.col("b").alias("neighbor")).distinct()
+
+
 _RANKED = f"""WITH {W.TYPED}, s AS (SELECT src, dst, CASE type WHEN 'CALLS' THEN 5 WHEN 'INHERITS' THEN 4 WHEN 'IMPLEMENTS' THEN 4 WHEN 'INSTANTIATES' THEN 3 ELSE 2 END * 100 + CASE resolution WHEN 'exact' THEN 2 WHEN 'name_match' THEN 1 ELSE 0 END * 10 + confidence AS score FROM te WHERE src <> dst),
 b AS (SELECT id, neighbor, max(score) AS score FROM (SELECT src AS id, dst AS neighbor, score FROM s UNION ALL SELECT dst, src, score FROM s) GROUP BY 1, 2),
 p AS (SELECT p_partkey AS id, (p_partkey % 97)::DOUBLE AS x, (p_partkey % 89)::DOUBLE AS y, p_size::DOUBLE AS z FROM part),
@@ -174,6 +191,12 @@ def _(spark, d):
     return rows.select(F.col("src").alias("id"), F.concat(F.lit("calls "), F.concat_ws(", ", F.col("ids").cast("array<string>"))).alias("text"))
 
 
+@query("trv11_prose_whole")
+def _(spark, d):
+    rows = W.edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("ids"))
+    return rows.select(F.col("src").alias("id"), F.concat(F.lit("calls "), F.concat_ws(", ", F.col("ids").cast("array<string>"))).alias("text"))
+
+
 @query("agg01_degree", f"WITH {W.EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1")
 def _(spark, d):
     return rollup.degree(W.edges(spark, d))
@@ -323,7 +346,7 @@ def _(spark, d):
 
 @query("geo01_spanning_tree")
 def _(spark, d):
-    p = W.table(spark, d, "part").where("p_size <= 5").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("place"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    p = W.table(spark, d, "part").select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("place"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"), F.lit(0.0).alias("z"))
     return geometry.spanning_tree(p)
 
 
