@@ -2,7 +2,7 @@
 
 A page is read once into text blocks and element subtrees.  A subtree's hash covers its tag, class, id and everything
 below it.  Spark counts, per host, on how many different pages each subtree occurs (equal pages count once); subtrees on
-at least MIN_PAGES pages and a SHARE of the host's are the site's template and are deleted, except article text itself:
+at least MIN_PAGES pages, however many the host has, are the site's template and are deleted, except article text itself:
 paragraphs, headings, quotations and preformatted text inside <article> or <main>, which pages quote from one another.
 Elements that are never main text by tag, role, class or id go on every page.  If an <article> or <main> with text is
 left, only its blocks count.
@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MIN_PAGES = 10
-SHARE = 0.2
-#: Template hashes that are sent to every task; above, they are joined by host.
+#: Template hashes that are sent to every task; above, each page gets its own by a join of its subtrees.
 BROADCAST_HASHES = 500_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
@@ -170,44 +168,50 @@ def main_text(html: str, template: set[int]) -> str:
     return "\n".join(text for text, _ in left)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def _with_host(pages: DataFrame, *names: str) -> DataFrame:
+    """Those columns, the host, and page: the html's hash."""
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    return C.pick(pages, *names).withColumns({"host": host, "page": F.xxhash64(F.coalesce("html", F.lit("")))})
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur on the host; at most 1 / share times the blocks of an average page."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, trees): the hashes of each page's subtrees."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            hosts, digests, own = [], [], []
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hosts.append(host_of(url))
-                digests.append(xxhash.xxh64_intdigest((html or "").encode()) - (1 << 63))
-                own.append(sorted({t[0] for t in read_page(html or "")[1]}))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["host", "page", "trees"])
+            own = [sorted({t[0] for t in read_page(html or "")[1]}) for html in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["host", "page", "trees"])
+
+    rows = _with_host(pages, "url", "html").select("host", "page", "html")
+    return C.stored(rows.mapInArrow(task, "host string, page long, trees array<long>"), "trees")
+
 
-    rows = C.stored(C.pick(pages, "url", "html").mapInArrow(task, "host string, page long, trees array<long>"), "trees")
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = rows.select("host", "page", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("hashes"))
+def _each(trees: DataFrame) -> DataFrame:
+    return trees.select("host", "page", F.explode("trees").alias("tree")).distinct()
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, tree): the subtrees that recur on so many pages of the host."""
+    return _each(trees).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "tree")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, few: int = BROADCAST_HASHES) -> DataFrame:
     """Per page of pages (page_id, url, html): page_id, url, text, n_chars."""
-    known = C.stored(templates(pages, min_pages, share), "templates")
-    size = known.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    trees = subtrees(pages)
+    known = C.stored(templates(trees, min_pages), "templates")
+    size = known.count()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [main_text(html or "", set(hashes or ())) for html, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = C.pick(pages, "page_id", "url", "html")
+    rows = _with_host(pages, "page_id", "url", "html")
     if not size:
-        return rows.withColumn("hashes", F.array().cast("array<long>")).mapInArrow(task, "page_id long, url string, text string, n_chars long")
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    joined = rows.withColumn("host", host).join(F.broadcast(known) if size <= BROADCAST_HASHES else known, "host", "left")
+        joined = rows.withColumn("hashes", F.array().cast("array<long>"))
+    elif size <= few:
+        joined = rows.join(F.broadcast(known.groupBy("host").agg(F.collect_list("tree").alias("hashes"))), "host", "left")
+    else:
+        own = _each(trees).join(known, ["host", "tree"]).groupBy("host", "page").agg(F.collect_list("tree").alias("hashes"))
+        joined = rows.join(own, ["host", "page"], "left")
     return joined.select("page_id", "url", "html", "hashes").mapInArrow(task, "page_id long, url string, text string, n_chars long")

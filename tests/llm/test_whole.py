@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from graphloom.llm import kneser_ney, queries
+from graphloom.llm import html_extract, kneser_ney, queries
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
@@ -66,3 +66,12 @@ def test_op9_sees_the_order_of_words(spark, tmp_path):
     got = {r.doc_id: (r.perplexity, r.keep) for r in queries.op9_kneser_ney(spark, str(tmp_path)).collect()}
     assert got[0][1] and not got[10][1] and not got[11][1]
     assert got[10][0] > got[0][0] < got[11][0]
+
+
+@pytest.mark.parametrize("few", [0, html_extract.BROADCAST_HASHES])
+def test_templates_count_pages(spark, few):
+    """A block on 12 of a host's 200 pages goes, one on 9 stays."""
+    page = lambda i: f"<body>{'<div>twelve</div>' if i < 12 else ''}{'<div>nine</div>' if i < 9 else ''}<p>story {i}</p></body>"
+    pages = spark.createDataFrame([(i, "http://h.x/", page(i)) for i in range(200)] + [(999, "http://k.x/", page(0))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, few=few).collect()}
+    assert got == {i: "nine\n" * (i < 9) + f"story {i}" for i in range(200)} | {999: "twelve\nnine\nstory 0"}
