@@ -135,16 +135,21 @@ def parse(data: bytes) -> Stream:
     at = out.tag_bytes = _tag_size(data)
     if at:
         out.title = _title(data[:at])
-    end = len(data) - (128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else 0)
-    out.tag_bytes += len(data) - end
+    start, end = at, len(data)
+    # an ID3v1 tag, unless the chain of frames runs through to the end of the data over it
+    tag = end - 128 if data[-128:-125] == b"TAG" and end - 128 >= at else end
     synced = False
     while at < end:
+        if at == tag:
+            out.tag_bytes += end - tag
+            break
         h = header(data, at)
         follows = at + h.size if h else 0
-        if not h or follows > end or not synced and follows != end and header(data, follows) is None:
-            # lost: on to the next byte that may begin a header
-            step = data.find(b"\xff", at + 1, end)
-            step = end if step < 0 else step
+        over = at < tag < follows and not (follows == end and (synced or at == start))
+        if not h or follows > end or over or not synced and follows not in (tag, end) and header(data, follows) is None:
+            # lost: on to the next byte that may begin a header, or to the tag
+            step = data.find(b"\xff", at + 1, tag if at < tag else end)
+            step = (tag if at < tag else end) if step < 0 else step
             out.skipped += step - at
             at, synced = step, False
             continue

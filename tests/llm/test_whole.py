@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from graphloom.llm import html_extract, kneser_ney, queries
+from graphloom.llm import html_extract, kneser_ney, mpeg_audio, queries
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
@@ -75,3 +75,15 @@ def test_templates_count_pages(spark, few):
     pages = spark.createDataFrame([(i, "http://h.x/", page(i)) for i in range(200)] + [(999, "http://k.x/", page(0))], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(pages, few=few).collect()}
     assert got == {i: "nine\n" * (i < 9) + f"story {i}" for i in range(200)} | {999: "twelve\nnine\nstory 0"}
+
+
+def test_text_that_reads_as_a_tag():
+    for raw in (b"TAG" + b"A" * 125, b"x" * 6400 + b"TAG" + b"A" * 125, b"TAG" + b"B" * 100):
+        payload = mpeg_audio.payload_of(raw)
+        data = mpeg_audio.wrap(payload)
+        s = mpeg_audio.parse(data)
+        assert mpeg_audio.unwrap(data, s) == payload and s.table_frames == s.frames and not s.skipped and not s.tag_bytes
+        t = mpeg_audio.parse(data + b"TAG" + bytes(125))
+        assert mpeg_audio.unwrap(data, t) == payload and t.frames == s.frames and not t.skipped and t.tag_bytes == 128
+        cut = mpeg_audio.parse(data[:-1] + b"TAG" + bytes(125))
+        assert cut.tag_bytes == 128 and cut.frames == s.frames - 1
