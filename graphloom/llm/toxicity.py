@@ -3,7 +3,8 @@
 The lexicon is learned from labelled documents: words, and stems that several words share, whose documents are toxic far
 beyond chance; those whose documents only lean that way are a kind of their own.  A word of a text counts as a term if it is one, if a stem starts it, or if it reads as one with letters
 for look-alike digits and without repeats; otherwise the Levenshtein automaton of the word is run along the lexicon's
-trie, and a term within one edit counts as misspelled, unless the word is common in clean text.  Each hit looks at a
+trie, and a term within one edit (two, as a swap of neighbours is, from LONG letters on) counts as misspelled, unless the
+word is common in clean text; so does a word that a stem of FUZZY letters or more starts within one edit.  Each hit looks at a
 window of WINDOW words to either side: inside quotation marks or beside a word of reporting it counts as quoted, beside
 a word of address as aimed.  The logistic model over the log counts tells what each kind is worth.
 
@@ -35,6 +36,9 @@ MOST_CLEAN = 16_000
 CLEAN_WORDS = 50_000
 WINDOW = 4
 STEM = (4, 5, 6, 7)
+#: Letters of a term from which two edits are allowed, and of a stem from which one is.
+LONG = 9
+FUZZY = 6
 MEMO = 400_000
 NONE, TERM, STEMMED, DISGUISED, MISSPELLED, LEANING = range(6)
 FEATURES = ("term", "stem", "disguised", "misspelled", "leaning", "aimed", "quoted", "words")
@@ -63,6 +67,12 @@ class Trie:
             half = len(term) // 2
             self.heads.setdefault(len(term), set()).add(term[:half])
             self.tails.setdefault(len(term), set()).add(term[half:])
+        self.pieces: dict[str, set[int]] = {}
+        for term in terms:
+            cuts = [len(term) * i // 3 for i in range(4)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.pieces.setdefault(term[a:b], set()).add(a)
+        self.piece_sizes = sorted({len(x) for x in self.pieces})
         self.starts = {h[:2] for heads in self.heads.values() for h in heads}
         self.ends = {t[-2:] for tails in self.tails.values() for t in tails}
 
@@ -76,6 +86,14 @@ class Trie:
                 return True
         return False
 
+    def may_be_near_twice(self, word: str) -> bool:
+        """Two edits leave one of the three parts of a term as it is, at most two places off."""
+        for size in self.piece_sizes:
+            for at in range(len(word) - size + 1):
+                if (places := self.pieces.get(word[at : at + size])) and any(abs(at - x) <= 2 for x in places):
+                    return True
+        return False
+
     def near(self, word: str, edits: int = 1) -> str | None:
         """The first term by name within so many edits.
 
@@ -104,9 +122,11 @@ class Trie:
 class Lexicon:
     def __init__(self, terms: set[str], stems: set[str], leaning: set[str], clean: set[str]) -> None:
         self.terms, self.stems, self.leaning = terms, stems, leaning
-        self.trie = Trie(t for t in terms if len(t) >= 4)
+        self.trie = Trie({t for t in terms if len(t) >= 4})
+        self.long = Trie({t for t in terms if len(t) >= LONG})
+        self.prefixes = Trie({s for s in stems if len(s) >= FUZZY})
         self.starts = {s[: STEM[0]] for s in stems | leaning}
-        self.known = {w: self._stem(w) for w in clean} | dict.fromkeys(terms, TERM)
+        self.known = {w: self._stem(w) for w in clean} | {t: STEMMED if self._stem(t) == STEMMED else TERM for t in terms}
 
     def _stem(self, word: str) -> int:
         if word[: STEM[0]] not in self.starts:
@@ -125,15 +145,24 @@ class Lexicon:
         if not word.isalpha():
             plain = word.translate(_LOOKS)
             plain = "".join(c for c in plain if c.isalpha())
-            if plain != word and plain in self.terms:
+            if plain != word and self._exact(plain):
                 return DISGUISED
             word = plain
-        if _REPEATS.search(word) and (_REPEATS.sub(r"\1", word) in self.terms or _REPEATS.sub(r"\1\1", word) in self.terms):
+        if _REPEATS.search(word) and (self._exact(_REPEATS.sub(r"\1", word)) or self._exact(_REPEATS.sub(r"\1\1", word))):
             return DISGUISED
         if len(word) >= 4 and self.trie.may_be_near(word) and self.trie.near(word):
             return MISSPELLED
+        if len(word) >= LONG - 2 and self.long.may_be_near_twice(word) and self.long.near(word, 2):
+            return MISSPELLED
+        for k in range(FUZZY - 1, min(len(word), STEM[-1] + 1) + 1):
+            if self.prefixes.may_be_near(word[:k]) and self.prefixes.near(word[:k]):
+                return MISSPELLED
         return NONE
 
+    def _exact(self, word: str) -> bool:
+        """A term, or a stem and more that isn't common in clean text."""
+        return word in self.terms or word not in self.known and self._stem(word) == STEMMED
+
 
 class _Kinds:
     """Kinds of words, remembered."""
@@ -269,7 +298,7 @@ def _learn_terms(sample: DataFrame) -> Lexicon:
                 top[t[:k]] = max(top[t[:k]], n)
     stems = {t[:-1] for t, n in strong.items() if t[-1] == "*" and n >= 2 * top[t[:-1]]}
     stems = {s for s in stems if not any(s[:k] in stems for k in STEM if k < len(s))}
-    return Lexicon({t for t in whole if not any(t[:k] in stems for k in STEM)}, stems, leaning, usual - set(whole))
+    return Lexicon(set(whole), stems, leaning, usual - set(whole))
 
 
 def _counts(rows: DataFrame, lexicon: Lexicon, keep: int, schema: str, finish) -> DataFrame:

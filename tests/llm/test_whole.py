@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from graphloom.llm import html_extract, kneser_ney, mpeg_audio, queries
+from graphloom.llm import html_extract, kneser_ney, mpeg_audio, queries, toxicity
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
@@ -87,3 +87,12 @@ def test_text_that_reads_as_a_tag():
         assert mpeg_audio.unwrap(data, t) == payload and t.frames == s.frames and not t.skipped and t.tag_bytes == 128
         cut = mpeg_audio.parse(data[:-1] + b"TAG" + bytes(125))
         assert cut.tag_bytes == 128 and cut.frames == s.frames - 1
+
+
+def test_misspelled_stems_and_long_terms():
+    lexicon = toxicity.Lexicon({"wretched", "scoundrel", "vermintide"}, {"vermin"}, set(), {"varmint"})
+    kind = lexicon.kind
+    assert kind("vermintide") == kind("verminous") == toxicity.STEMMED
+    assert kind("vermntide") == kind("vermimous") == kind("scuondrel") == kind("scundrl") == kind("vrmintdie") == toxicity.MISSPELLED
+    assert kind("verm1ntide") == kind("verm1nous") == kind("vermiiiinous") == toxicity.DISGUISED
+    assert kind("varmint") == kind("wrtchde") == kind("scandal") == toxicity.NONE
