@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", benchmark_passages), ("mixing", mixture), ("token_binary", tokens)]
 
-#: SQL can't express the learned model, fingerprints by XXH64 or the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the learned model, fingerprints by XXH64 or the tokenizer; tests cover operators beneath the stages, not run().
 ORACLE_SQL = None
 
 
