@@ -73,15 +73,15 @@ def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *keys: str) -> DataFrame:
+    """(doc_id, fp, keys): fp as a signed long; keys are further long columns."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(raw, size) for raw in C.raw_texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keys])
 
-    return C.pick(docs, "doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    return C.pick(docs, "doc_id", "text", *keys).mapInArrow(task, ", ".join(f"{n} long" for n in ("doc_id", "fp", *keys)))
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -217,13 +217,15 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) ->
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) with the document of the smallest doc_id of each component.
+    """docs (doc_id, text, lang, source, n_chars): of each component the document of the smallest doc_id.
 
-    Rows that share a doc_id are one document, that with the smallest text; rows without doc_id can't be told apart, so
-    of those only equal ones become one.
+    A document is what shares doc_id and text; without doc_id comes last, and ties go to the smallest hash of both.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = C.pick(docs, *names)
-    found = simhash_components(rows).where("doc_id = component_id").select("doc_id").distinct()
-    kept = rows.join(found, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return kept.unionByName(rows.where("doc_id is null").distinct())
+    rows = C.pick(docs, *names).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    of_docs = C.stored(fingerprints(rows, SHINGLE, "key"), "simhash")
+    fps = of_docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least"))
+    roots = components(links(fps.select("fp"), HOT))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    best = named.groupBy("root").agg(F.min("least").alias("least")).select("least.key").distinct()
+    return rows.join(best, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*names)).alias("row")).select("row.*")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from graphloom.llm import html_extract, kneser_ney, mpeg_audio, queries, toxicity
+from graphloom.llm import html_extract, kneser_ney, mpeg_audio, queries, simhash, toxicity
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
@@ -96,3 +96,10 @@ def test_misspelled_stems_and_long_terms():
     assert kind("vermntide") == kind("vermimous") == kind("scuondrel") == kind("scundrl") == kind("vrmintdie") == toxicity.MISSPELLED
     assert kind("verm1ntide") == kind("verm1nous") == kind("vermiiiinous") == toxicity.DISGUISED
     assert kind("varmint") == kind("wrtchde") == kind("scandal") == toxicity.NONE
+
+
+def test_one_of_each_without_and_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a, "en"), (None, a, "de"), (1, a, "en"), (None, b, "en"), (None, b, "fr"), (1, c, "en")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr) == sorted([(1, a), (None, b), (1, c)], key=repr)
