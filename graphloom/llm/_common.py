@@ -26,13 +26,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder as a full URI: spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The shared folder as a full URI: spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(base)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -42,16 +44,69 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri.rstrip("/")
 
 
+#: Folders of this process that hold intermediate results, by application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder's URI under the shared one."""
-    return f"{checkpoint_root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
+    """A new folder's URI under the shared one; release() deletes it."""
+    path = f"{checkpoint_root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(uri)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    done: stored tables that nothing reads any more once this one is written; they are deleted.
+    """
     path = shared_folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    for old in done:
+        discard(old)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this application's operators still hold in the shared folder, after their results have been used."""
+    paths = list(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+#: A key with more than 1 in SHARES of all rows is joined by broadcast: there are fewer than SHARES of them.
+SHARES = 1000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int, *spread: str) -> DataFrame:
+    """rows left-joined to side (keys, n, others), one row a key, n the rows of `rows` that have it of `total` in all.
+
+    Keys that hold a large share of the rows are fewer than SHARES, so they are broadcast; their rows then take part in
+    the shuffle under a salt that matches nothing, a hash of the columns `spread`, so any repeated task deals them alike.
+    """
+    others = [c for c in side.columns if c not in (*keys, n)]
+    hot = side.where(F.col(n) * SHARES > total)
+    mark = lambda df, tag: df.select(*keys, F.lit(True).alias(f"_{tag}"), *(F.col(c).alias(f"_{tag}_{c}") for c in others))
+    salt = F.when(F.col("_h"), F.pmod(F.xxhash64(*spread), F.lit(1 << 30)) + 1).otherwise(F.lit(0).cast("long"))
+    out = rows.join(F.broadcast(mark(hot, "h")), keys, "left").withColumn("_salt", salt)
+    out = out.join(mark(side.where(F.col(n) * SHARES <= total), "c").withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
+    return out.select(*rows.columns, *(F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in others))
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import decontaminate, html_extract, kneser_ney, language, mpeg_audio, simhash, token_binary, toxicity, warc
+from graphloom.llm import decontaminate, html_extract, kneser_ney, language, mpeg_audio, simhash, token_binary, toxicity
 
 LOW = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -107,23 +107,6 @@ def test_cut(spark):
     assert got == {1: ("a " * 300 + "! End é.", 608), 3: ("clean", 5)}
 
 
-def test_warc_splits(spark):
-    """Ranges of any size give every record once, an archive inside a payload none of its own."""
-    rng = random.Random(2)
-    inner = warc.record(77, "u", b"inner", hashlib.sha1(b"inner").hexdigest(), None)
-    payloads = [bytes(rng.getrandbits(8) for _ in range(rng.randrange(3000))) for _ in range(20)]
-    payloads[4] = bytes(rng.getrandbits(8) for _ in range(400)) + inner + bytes(rng.getrandbits(8) for _ in range(900))
-    members = [warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
-    from graphloom.llm import _common as C
-
-    uri = C.shared_folder(spark, "test") + "/x.warc.gz"
-    C.put_file(uri, b"".join(members))
-    size = sum(map(len, members))
-    for step in (97, 1000, 5000, size):
-        rows = [warc.describe(*r) for at in range(0, size, step) for r in warc.records(uri, at, at + step)]
-        assert [r[0] for r in rows] == list(range(20)) and [r[2] for r in rows] == [hashlib.sha1(p).hexdigest() for p in payloads]
-
-
 def test_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
