@@ -198,22 +198,28 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(small_least, "hi")
         small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo != hi").union(joined.select(F.col("m").alias("lo"), "hi")).distinct()
-        edges = C.stored(small, "components")
+        edges, last = C.stored(small, "components"), edges
+        C.discard(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+            out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+            out._stored_at = edges._stored_at
+            return out
         before = now
 
 
 def simhash_components(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """Per document of docs (doc_id, text): fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
     of_docs = C.stored(fingerprints(docs, size), "simhash")
-    fps = of_docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = C.stored(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs")), "simhash-fps")
     roots = components(links(fps.select("fp"), hot))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return of_docs.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = C.stored(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "docs", F.coalesce("root", "fp").alias("root")), "simhash-roots", roots, fps)
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    size_of = named.agg(F.count(F.lit(1)).alias("fps"), F.sum("docs").alias("docs")).first()
+    # a component may hold a third of all fingerprints, a fingerprint a third of all documents
+    of_fp = C.join_spread(named.select("fp", "docs", "root"), best, ["root"], "n", size_of["fps"], "fp").select("fp", "docs", "component_id")
+    out = C.join_spread(of_docs, of_fp, ["fp"], "docs", size_of["docs"] or 0, "doc_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
