@@ -27,7 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
@@ -147,33 +148,52 @@ class TokenFile:
 
 
 class _Memo:
-    """Ids of words, found by the words' 64-bit hashes: sorted arrays, some 20 bytes a word, looked up many at a time."""
+    """Ids of words, found by two 64-bit hashes each: sorted arrays, some 30 bytes a word, looked up many at a time.
+
+    A word stands under its first hash with the second beside it, or the other way round if another word has its first.
+    """
 
     def __init__(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
+    def _at(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes, and which of them are there."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        """Places of words by their hashes (two rows), and which of them are there."""
+        if not len(self.keys):
+            return np.zeros(hashes.shape[1], np.int64), np.zeros(hashes.shape[1], bool)
+        at, there = self._at(*hashes)
+        if not there.all():
+            rest = np.flatnonzero(~there)
+            at[rest], there[rest] = self._at(hashes[1, rest], hashes[0, rest])
+        return at, there
 
     def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        if len(self.hashes) > MEMO:
+        if len(self.keys) > MEMO:
             self.__init__()
-        hashes, own = np.unique(hashes, return_index=True)
-        own = own[~self.find(hashes)[1]]
-        hashes = hashes[~self.find(hashes)[1]]
-        size = np.fromiter((len(ids[i]) for i in own), np.int64, len(own))
-        flat = np.fromiter((x for i in own for x in ids[i]), np.uint32, int(size.sum()))
+        new = np.flatnonzero(~self.find(hashes)[1])
+        new = new[np.unique(hashes[:, new], axis=1, return_index=True)[1]]
+        keys, checks = hashes[:, new]
+        taken = np.isin(keys, self.keys)
+        taken[np.setdiff1d(np.arange(len(new)), np.unique(keys, return_index=True)[1])] = True
+        keys, checks = np.where(taken, checks, keys), np.where(taken, keys, checks)
+        order = np.argsort(keys, kind="stable")
+        keys, checks, new = keys[order], checks[order], new[order]
+        size = np.fromiter((len(ids[i]) for i in new), np.int64, len(new))
+        flat = np.fromiter((x for i in new for x in ids[i]), np.uint32, int(size.sum()))
         if len(flat) and flat.max() >> 16 and self.ids.dtype == np.uint16:
             self.ids = self.ids.astype(np.uint32)
         first = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate((self.ids, flat.astype(self.ids.dtype)))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.first, first), (self.size, size)))
+        at = np.searchsorted(self.keys, keys)
+        pairs = (self.keys, keys), (self.checks, checks), (self.first, first), (self.size, size)
+        self.keys, self.checks, self.first, self.size = (np.insert(old, at, more) for old, more in pairs)
 
 
 class _Encoder:
@@ -213,10 +233,10 @@ class _Encoder:
         ids = {w: self.memo.ids[f : f + n].tolist() if t else self._piece(w) for w, t, f, n in zip(words, there, *self._spans(at), strict=True)}
         tails = {t: self.one(t) if t else [] for t in {t for _, t in cut}}
         fresh = [w for w, t in zip(words, there, strict=True) if not t]
-        self.memo.add(np.concatenate((_hashes(new), hashes[~there])), [ids[w] + tails[t] if w else tails[t] for w, t in cut] + [ids[w] for w in fresh])
+        self.memo.add(np.concatenate((_hashes(new), hashes[:, ~there]), axis=1), [ids[w] + tails[t] if w else tails[t] for w, t in cut] + [ids[w] for w in fresh])
 
     def _spans(self, at: np.ndarray) -> tuple[list[int], list[int]]:
-        return (self.memo.first[at].tolist(), self.memo.size[at].tolist()) if len(self.memo.hashes) else ([0] * len(at), [0] * len(at))
+        return (self.memo.first[at].tolist(), self.memo.size[at].tolist()) if len(self.memo.keys) else ([0] * len(at), [0] * len(at))
 
     def texts(self, texts: pa.Array, end: bytes) -> list[bytes]:
         """The ids of each text as unsigned 32-bit integers, then the end."""
@@ -242,8 +262,11 @@ class _Encoder:
 
 
 def _hashes(words: list[str] | pa.Array) -> np.ndarray:
+    """Two rows of 64-bit hashes."""
     values = words.to_numpy(zero_copy_only=False) if isinstance(words, pa.Array) else np.array(words, object)
-    return hash_array(values, categorize=False) if len(values) else np.zeros(0, np.uint64)
+    if not len(values):
+        return np.zeros((2, 0), np.uint64)
+    return np.stack([hash_array(values, hash_key=key, categorize=False) for key in _KEYS])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -255,6 +278,7 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 _ENCODERS: dict[str, _Encoder] = {}
 _MARKS = ".,;:!?"
+_KEYS = "0123456789123456", "graphloom-second"
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> list[bytes]:
@@ -262,16 +286,20 @@ def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> list[bytes
     return encoder.texts(texts, array("I", [end_id]).tobytes())
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> list[tuple[str, int, int]]:
-    """Writes the files in ascending doc_id order and returns (path, ids before it, ids in it) for each."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
+    """Writes the files in ascending doc_id order; returns their manifest (path, before, ids): ids before each and in it.
+
+    Documents go to tasks by ranges of doc_id and of the first letters of the text, so those that share an id, or have
+    none, needn't meet in one task.
+    """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, encoded, held, made = TaskContext.get().partitionId(), [], [], 0, []
+        part, nth, names, encoded, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def close() -> None:
-            path = f"{folder}/part-{part:06d}-{len(made):06d}.efids"
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/part-{part:06d}-{nth:06d}.efids"
             C.put_file(path, pack(names, encoded, width))
-            made.append((path, held))
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "path": [path], "ids": [held]}, pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("ids", pa.int64())]))
 
         for batch in C.slices(batches, 1000):
             ids = encode_texts(batch.column(1), tokenizer, end_id)
@@ -280,24 +308,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, wi
                 encoded.append(own)
                 held += len(own) // 4
                 if held >= FILE_IDS:
-                    close()
-                    names, encoded, held = [], [], 0
+                    yield close()
+                    nth, names, encoded, held = nth + 1, [], [], 0
         if names:
-            close()
-        if made:
-            yield pa.RecordBatch.from_pydict({"part": [part] * len(made), "nth": list(range(len(made))), "path": [p for p, _ in made], "ids": [n for _, n in made]}, pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("ids", pa.int64())]))
+            yield close()
 
-    ordered = C.pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(ordered.mapInArrow(task, "part int, nth int, path string, ids long").collect())
-    out, before = [], 0
-    for _, _, path, n in files:
-        out.append((path, before, n))
-        before += n
-    return out
+    ordered = C.pick(docs, "doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    files = C.stored(ordered.mapInArrow(task, "part int, nth int, path string, ids long"), "tokens-manifest")
+    # a row a task reaches the driver: as many as the shuffle has partitions, whatever the input
+    before, starts = 0, []
+    for r in sorted(files.groupBy("part").agg(F.sum("ids").alias("ids")).collect()):
+        starts.append((r.part, before))
+        before += r.ids
+    known = docs.sparkSession.createDataFrame(starts, "part int, start long")
+    own = F.coalesce(F.expr("sum(ids) over (partition by part order by nth rows between unbounded preceding and 1 preceding)"), F.lit(0))
+    return files.withColumn("own", own).join(F.broadcast(known), "part").select("path", (F.col("start") + F.col("own")).alias("before"), "ids")
 
 
-def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """One row per document, from the files alone."""
+def read(files: DataFrame) -> DataFrame:
+    """One row per document, from the files of a manifest alone."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,13 +340,10 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(), pa.int64()), pa.array(starts + before), pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    if not files:
-        return spark.createDataFrame([], SCHEMA)
-    rows = spark.createDataFrame([(p, b) for p, b, _ in files], "path string, before long")
-    return rows.repartition(min(len(files), 4096)).mapInArrow(task, SCHEMA)
+    n = files.count()
+    return files.select("path", "before").repartition(max(1, min(n, max(4096, n // 32)))).mapInArrow(task, SCHEMA)
 
 
 def token_binary(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Encodes docs (doc_id, text) into files of the shared folder and reads them back, one row per document."""
-    spark = docs.sparkSession
-    return read(spark, write(docs, C.shared_folder(spark, "tokens"), tokenizer, end_id, width))
+    return read(write(docs, C.shared_folder(docs.sparkSession, "tokens"), tokenizer, end_id, width))

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -34,6 +36,19 @@ def test_token_file():
     assert file.doc_ids() == [None, -5, 12] and [file.document(i).tolist() for i in range(3)] == [[0, 1, 2], [0], list(range(7))]
 
 
+@pytest.mark.parametrize("mask", [2**64 - 1, 7, 0])
+def test_memo_of_words_tells_equal_hashes_apart(monkeypatch, mask):
+    from tokenizers import Tokenizer
+
+    path, real = public_tokenizers.path("word_bpe_49k.json"), token_binary._hashes
+    monkeypatch.setattr(token_binary, "_hashes", lambda words: np.stack((real(words)[0] & np.uint64(mask), real(words)[1])))
+    encoder, tok, rng = token_binary._Encoder(path), Tokenizer.from_file(path), random.Random(9)
+    for _ in range(5):
+        texts = [" ".join(rng.choice(["alpha", "beta!", "größe", "x1", "Zeta,"]) + str(rng.randrange(30)) * rng.randrange(2) for _ in range(50)) for _ in range(20)]
+        want = [np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+        assert encoder.texts(pa.array(texts), np.array([2], "<u4").tobytes()) == want
+
+
 def test_triples_cover():
     from itertools import combinations
 
