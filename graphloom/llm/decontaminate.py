@@ -4,11 +4,14 @@ Words: A-Z lower-cased, then runs of ASCII letters, digits and non-ASCII charact
 the automaton, which keeps the longest suffix that occurs in any item.  A window is `window` consecutive words of an
 item, or a whole item of fewer words; a document word inside an occurrence of a window is hit.
 
-The items are split into blocks of at most BLOCK_WORDS words, an automaton each, written to the shared folder; a task
-holds one automaton at a time, so memory doesn't grow with the number of items.
+The items are dealt by a hash to blocks of about BLOCK_WORDS words; a task builds each block's automaton and writes it
+to the shared folder.  A scanning task holds one automaton at a time, so memory doesn't grow with the number of items:
+with one block it keeps it; with more it gathers CHUNK_BYTES of texts and sweeps them block by block, so that an
+automaton is read once for so much text.  Scanning takes time in proportion to texts times blocks.
 
 Defined cases: a null or empty text has no words and no hits; items with null or empty text make no windows; an item
-without item_id hits words but isn't counted among the items; repeated items count once; without items nothing is hit.
+without item_id hits words but isn't counted among the items; repeated items count once; without items nothing is hit;
+texts and items of any length are read whole; a share of hits of just 1 in LIMIT is contaminated.
 """
 
 from __future__ import annotations
@@ -16,16 +19,19 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
 WINDOW = 13
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 500_000
+CHUNK_BYTES = 32 << 20
 #: A document is contaminated if at least 1 in LIMIT of its words is hit.
 LIMIT = 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -87,14 +93,14 @@ class Automaton:
 
     def walk(self, codes: list[int]) -> Iterator[tuple[int, int]]:
         """After each word, the state and the length of the longest suffix that occurs in an item."""
-        step, link, size = self.next, self.link, self.len
+        link, size, only, to, more = self.link, self.len, self.only, self.to, self.more
         v = n = 0
         for c in codes:
-            w = step[v].get(c)
+            w = to[v] if only[v] == c else more[v].get(c) if v in more else None
             while w is None and v:
                 v = link[v]
                 n = size[v]
-                w = step[v].get(c)
+                w = to[v] if only[v] == c else more[v].get(c) if v in more else None
             if w is None:
                 v = n = 0
             else:
@@ -103,9 +109,18 @@ class Automaton:
             yield v, n
 
     def freeze(self) -> Automaton:
-        """Names each window's state: full windows by the state at depth `window`, short items by theirs."""
+        """Packs the states, most of which have one way on, and names each window's: full ones by that at depth `window`, short items by theirs."""
+        self.only, self.to = array("i", [-1]) * len(self.len), array("i", [0]) * len(self.len)
+        self.more: dict[int, dict[int, int]] = {}
+        for v, ways in enumerate(self.next):
+            if len(ways) == 1:
+                ((self.only[v], self.to[v]),) = ways.items()
+            elif ways:
+                self.more[v] = ways
+        del self.next
+        self.link, self.len = array("i", self.link), array("i", self.len)
         order = sorted(range(len(self.len)), key=self.len.__getitem__)
-        self.level = [-1] * len(order)
+        self.level = array("i", [-1]) * len(order)
         for v in order[1:]:
             if self.len[v] >= self.window:
                 up = self.link[v]
@@ -152,27 +167,26 @@ class Automaton:
 
 
 def build(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
-    """Writes the automata of the items; returns their paths."""
+    """Writes the automata of the items (item_id, text); returns their paths, one for about block_words words."""
     folder = C.shared_folder(benchmark.sparkSession, "automata")
-    paths: list[str] = []
-    block, held = Automaton(window), 0
-
-    def close() -> None:
-        paths.append(f"{folder}/{len(paths):05d}.pickle")
-        C.put_file(paths[-1], pickle.dumps(block.freeze(), protocol=5))
-
-    for name, text in C.pick(benchmark, "item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        item = words((text or "").encode())
-        if not item:
-            continue
-        block.add(item, None if name is None else str(name))
-        held += len(item)
-        if held >= block_words:
-            close()
-            block, held = Automaton(window), 0
-    if held:
-        close()
-    return paths
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(words(raw)) for raw in C.raw_texts(batch.column(1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["item", "text", "n"])
+
+    def task(key: tuple, items: pa.Table) -> pa.Table:
+        block = Automaton(window)
+        for name, raw in zip(items.column("item").to_pylist(), C.raw_texts(items.column("text")), strict=True):
+            block.add(words(raw), name)
+        path = f"{folder}/{key[0].as_py():06d}.pickle"
+        C.put_file(path, pickle.dumps(block.freeze(), protocol=5))
+        return pa.table({"path": [path]})
+
+    items = C.pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), "text").distinct().mapInArrow(count, "item string, text string, n long").where("n > 0")
+    total = items.agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // block_words) or 1))
+    return sorted(r.path for r in items.withColumn("block", block).groupBy("block").applyInArrow(task, "path string").collect())
 
 
 _HELD: dict[str, Automaton] = {}
@@ -187,33 +201,45 @@ def _load(path: str) -> Automaton:
     return _HELD[path]
 
 
-def _scan(texts: list[list[bytes]], paths: list[str]) -> list[tuple[np.ndarray, set[str | None], int]]:
-    found = [(np.zeros(len(t), bool), set(), 0) for t in texts]
+def _scan(raws: list[bytes], paths: list[str]) -> list[tuple[np.ndarray, set[str | None], int]]:
+    """Of each text its hit words, the items whose windows occur and the longest match."""
+    found: list[tuple[np.ndarray, set[str | None], int]] = []
     for path in paths:
         automaton = _load(path)
-        for i, text in enumerate(texts):
+        for i, raw in enumerate(raws):
+            text = words(raw)
+            if len(found) == i:
+                found.append((np.zeros(len(text), bool), set(), 0))
             hit, names, longest = found[i]
             more, n = automaton.find(text, hit)
             found[i] = hit, names | more, max(longest, n)
-    return found
-
-
-def _few(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    return found or [(np.zeros(len(words(raw)), bool), set(), 0) for raw in raws]
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches by 500 rows, so many of these together that they have so many bytes."""
+    held, size = [], 0
+    for batch in C.slices(batches, 500):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document of docs (doc_id, text): words, hit words, items with occurring windows, and the verdict."""
     paths = build(benchmark, window, block_words)
+    least = CHUNK_BYTES if len(paths) > 1 else 0
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in _few(b)):
-            texts = [words(raw) for raw in C.raw_texts(batch.column(1))]
+        for batch in _chunks(batches, least):
             rows = []
-            for text, (hit, names, longest) in zip(texts, _scan(texts, paths), strict=True):
+            for hit, names, longest in _scan(list(C.raw_texts(batch.column(1))), paths):
                 ids, n = sorted(names - {None}), int(hit.sum())
-                rows.append((len(text), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0 and limit * n >= len(text), longest))
+                rows.append((len(hit), n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0 and limit * n >= len(hit), longest))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -235,16 +261,16 @@ def cut(raw: bytes, hit: np.ndarray) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) without contaminated documents; from the others, hit spans are cut out."""
     paths = build(benchmark, window, block_words)
+    least = CHUNK_BYTES if len(paths) > 1 else 0
     kept = C.pick(docs, "doc_id", "text", "lang", "source", "n_chars")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in _few(b)):
+        for batch in _chunks(batches, least):
             raws = list(C.raw_texts(batch.column(1)))
-            texts = [words(raw) for raw in raws]
             new, chars, keep = batch.column(1).to_pylist(), batch.column(4).to_pylist(), []
-            for i, (text, (hit, _, _)) in enumerate(zip(texts, _scan(texts, paths), strict=True)):
+            for i, (hit, _, _) in enumerate(_scan(raws, paths)):
                 n = int(hit.sum())
-                if n and limit * n >= len(text):
+                if n and limit * n >= len(hit):
                     continue
                 keep.append(i)
                 if n:

@@ -89,7 +89,7 @@ def test_fingerprint():
         assert simhash.fingerprint(text) == sum(1 << q for q in range(64) if 2 * sum(h >> q & 1 for h in hashes) > len(hashes))
 
 
-def test_windows(spark):
+def test_windows(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(12)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -101,7 +101,8 @@ def test_windows(spark):
         n = min(13, len(w))
         for k in range(len(w) - n + 1):
             windows[tuple(w[k : k + n])].add(str(i))
-    for block in (10, 10**6):
+    for block, chunk in ((10, 1), (60, 10**6), (10**6, 1)):
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
         got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()}
         for i, t in docs:
             w, names = LOW(t).split(), set()
