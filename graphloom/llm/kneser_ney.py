@@ -15,11 +15,14 @@ text's code length is a sum over its words.  Distinct n-grams of either kind are
 With across a chunk holds its documents' bytes and their distinct n-grams instead of words, and ends at CHUNK_GRAMS of
 those; steps 2 and 3 are the same, and the second pass prices each symbol of a document by its n-gram.
 
-Thresholds: per language, the quantile of trusted documents' mean cost, from a histogram of bins of 1/1000 nat, so it
-depends on no order and no row is left out.  A document is kept if its mean cost doesn't exceed its language's threshold.
+Thresholds: one in FOLDS of the trusted texts, by a hash of the text, is held out from the counts, so that thresholds
+come from texts as new to the model as those that they judge.  Per language, the threshold is the quantile of held-out
+documents' mean cost, from a histogram of bins of 1/1000 nat, so it depends on no order and no row is left out.  A
+document is kept if its mean cost doesn't exceed its language's threshold (a cost just on it is kept).
 
 Defined cases: null or empty text has no symbols, perplexity null and isn't kept; null language is a language of its
-own; a language without trusted documents takes the threshold over all of them; without any trusted text all documents
+own; if all trusted texts or none would be held out, all are counted and give the thresholds; a language without such
+documents takes the threshold over all; without any trusted text all documents
 that have words are kept; a document with several labels is trusted if one says so; repeated rows count as often.
 """
 
@@ -39,7 +42,11 @@ from . import _common as C
 
 ORDER = 5
 QUANTILE = 0.995
+FOLDS = 10
+#: What a document is to the model.
+OTHER, COUNTED, HELD = range(3)
 CHUNK_WORDS = 300_000
+CHUNK_BYTES = 4 << 20
 CHUNK_GRAMS = 1_000_000
 #: Symbols handled at once; longer texts are cut, each piece with the ORDER - 1 bytes before it.
 PIECE = 1 << 19
@@ -48,8 +55,8 @@ BROADCAST_IDS = 2_000_000
 #: Costs are whole numbers of 1/10000 nats; the dearest symbol costs ln 256 and the escapes, far below 2 ** 20 of them.
 UNIT = 10_000
 COST_BITS = 20
-CHUNKS = "chunk long, doc_id long, lang string, trusted boolean, n_symbols long, ids binary, times binary, words binary, known binary"
-TEXTS = "chunk long, doc_id long, lang string, trusted boolean, n_symbols long, text binary, codes binary, known binary"
+CHUNKS = "chunk long, doc_id long, lang string, role int, n_symbols long, ids binary, times binary, words binary, known binary"
+TEXTS = "chunk long, doc_id long, lang string, role int, n_symbols long, text binary, codes binary, known binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -62,25 +69,30 @@ def _unplaned(data: bytes) -> np.ndarray:
 
 
 class _Numbers(dict):
+    bytes = 0
+
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
+        self.bytes += len(word)
         return n
 
 
-def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Documents as (doc_id, text, lang, trusted); trusted: doc_id."""
+def marked(docs: DataFrame, trusted: DataFrame, folds: int = 0) -> DataFrame:
+    """Documents as (doc_id, text, lang, role); trusted: doc_id."""
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = trusted.withColumn("trusted", F.lit(True))
-    return C.pick(docs, "doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", "lang", "trusted")
+    held = F.pmod(F.xxhash64("text", F.lit("held out")), F.lit(folds)) == 0 if folds else F.lit(False)
+    role = F.when(F.col("trusted").isNull(), OTHER).when(held, HELD).otherwise(COUNTED)
+    return C.pick(docs, "doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", "lang", role.alias("role"))
 
 
-def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, trusted: DataFrame, folds: int = 0) -> DataFrame:
     """Documents (doc_id, text, lang) as rows of word numbers, and a row of words for each chunk; trusted: doc_id."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, known, chunk = _Numbers(), np.zeros(1 << 16, np.int64), TaskContext.get().partitionId() << 20
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
         def rows_of(columns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -89,11 +101,11 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             return rows_of([[chunk], [None], [None], [None], [None], [None], [None], [b"\n".join(numbers)], [_planes(known[: len(numbers)])]])
 
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            ids, times, sizes, trust = [], [], [], [bool(x) for x in batch.column(3).to_pylist()]
-            for raw, is_known in zip(C.raw_texts(batch.column(1)), trust, strict=True):
+            ids, times, sizes, roles = [], [], [], batch.column(3).to_pylist()
+            for raw, role in zip(C.raw_texts(batch.column(1)), roles, strict=True):
                 own = raw.lower().split()
                 got, n = np.unique(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)), return_counts=True)
-                if is_known and len(got):
+                if role == COUNTED and len(got):
                     if len(numbers) > len(known):
                         known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
                     known[got] += n
@@ -101,8 +113,8 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 ids.append(_planes(np.diff(got, prepend=0)))
                 times.append(_planes(n))
             none = [None] * batch.num_rows
-            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), trust, sizes, ids, times, none, none])
-            if len(numbers) >= CHUNK_WORDS:
+            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), roles, sizes, ids, times, none, none])
+            if len(numbers) >= CHUNK_WORDS or numbers.bytes >= CHUNK_BYTES:
                 if len(numbers) > len(known):
                     known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
                 yield words()
@@ -112,7 +124,7 @@ def chunks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 known = np.concatenate((known, np.zeros(len(numbers), np.int64)))
             yield words()
 
-    return C.stored(marked(docs, trusted).mapInArrow(task, CHUNKS), "chunks")
+    return C.stored(marked(docs, trusted, folds).mapInArrow(task, CHUNKS), "chunks")
 
 
 def _codes(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray | int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +140,11 @@ def _codes(flat: np.ndarray, sizes: np.ndarray, leads: np.ndarray | int, order:
     return code[own], run[own]
 
 
-def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol of the words: the n-gram that it ends, as n << 40 | bytes, and the number of its word."""
-    flat = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8).astype(np.int64)
-    return _codes(flat, np.fromiter(map(len, words), np.int64, len(words)) + 2, 1, order)
-
-
 def text_grams(texts: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Like grams() for whole texts (words with one space between them), about PIECE symbols at a time; empty ones have none."""
+    """Of each symbol of the texts (a word, or words with one space between them): the n-gram that it ends, as n << 40 | bytes, and the number of its text.
+
+    About PIECE symbols at a time, however long a text is; empty ones have none.
+    """
     runs, leads, owner, size = [], [], [], 0
 
     def out() -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +172,10 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return own, np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
 
 
-def text_chunks(docs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
+def text_chunks(docs: DataFrame, trusted: DataFrame, order: int, folds: int = 0) -> DataFrame:
     """Documents (doc_id, text, lang) as rows of bytes, and a row of distinct n-grams for each chunk; trusted: doc_id."""
     names = [c.split()[0] for c in TEXTS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), *[pa.binary()] * 3]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
     def rows_of(columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -178,7 +187,8 @@ def text_chunks(docs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
             return rows_of([[chunk], [None], [None], [None], [None], [None], [np.diff(codes[0], prepend=0).astype("<i8").tobytes()], [counts[0].astype("<i8").tobytes()]])
 
         for batch in C.slices(batches, 500):
-            trust = np.array([bool(x) for x in batch.column(3).to_pylist()], bool)
+            roles = batch.column(3).to_numpy(zero_copy_only=False)
+            trust = roles == COUNTED
             texts = [b" ".join(raw.lower().split()) for raw in C.raw_texts(batch.column(1))]
             for code, text in text_grams(texts, order):
                 known = trust[text]
@@ -189,7 +199,7 @@ def text_chunks(docs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
                 if sum(map(len, codes[1:])) >= CHUNK_GRAMS:
                     codes, counts = ([x] for x in _summed(codes, counts))
             none = [None] * batch.num_rows
-            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), trust.tolist(), [len(t) + 1 if t else 0 for t in texts], texts, none, none])
+            yield rows_of([[chunk] * batch.num_rows, batch.column(0).to_pylist(), batch.column(2).to_pylist(), roles.tolist(), [len(t) + 1 if t else 0 for t in texts], texts, none, none])
             if codes and len(codes[0]) >= CHUNK_GRAMS:
                 codes, counts = ([x] for x in _summed(codes, counts))
                 yield row()
@@ -198,7 +208,7 @@ def text_chunks(docs: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
             codes, counts = ([x] for x in _summed(codes, counts))
             yield row()
 
-    return C.stored(marked(docs, trusted).mapInArrow(task, TEXTS), "chunks")
+    return C.stored(marked(docs, trusted, folds).mapInArrow(task, TEXTS), "chunks")
 
 
 def text_asked(table: DataFrame) -> DataFrame:
@@ -219,9 +229,12 @@ def asked(table: DataFrame, order: int) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                code, word = grams(words.as_py().split(b"\n"), order)
-                own, at = np.unique(code, return_inverse=True)
-                n = np.bincount(at, weights=_unplaned(known.as_py())[word], minlength=len(own)).astype(np.int64)
+                codes, counts, times = [], [], _unplaned(known.as_py())
+                for code, word in text_grams(words.as_py().split(b"\n"), order):
+                    codes.append(code)
+                    counts.append(times[word])
+                    codes, counts = ([x] for x in _summed(codes, counts))
+                own, n = codes[0], counts[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.array(n)], ["chunk", "code", "n"])
 
     return table.where("words is not null").select("chunk", "words", "known").mapInArrow(task, "chunk long, code long, n long")
@@ -284,11 +297,12 @@ def price_words(table: DataFrame, asked_: DataFrame, priced: DataFrame, folder:
         both = own.column("both").to_numpy()
         codes, cost = both >> COST_BITS, both & (1 << COST_BITS) - 1
         by = np.argsort(codes)
-        code, word = grams(text, order)
-        at = by[np.searchsorted(codes, code, sorter=by)]
-        if not (codes[at] == code).all():
-            raise ValueError("an n-gram has no cost")
-        sums = np.bincount(word, weights=cost[at], minlength=len(text)).astype("<i8")
+        sums = np.zeros(len(text), "<i8")
+        for code, word in text_grams(text, order):
+            at = by[np.minimum(np.searchsorted(codes, code, sorter=by), len(by) - 1)]
+            if not (codes[at] == code).all():
+                raise ValueError("an n-gram has no cost")
+            sums += np.bincount(word, weights=cost[at], minlength=len(text)).astype("<i8")
         flat = np.ascontiguousarray(sums.view(np.uint8).reshape(-1, 8).T).tobytes()
         C.put_file(f"{folder}/{chunk}.costs", len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True))
         return pa.table({"chunk": pa.array([chunk]), "n": pa.array([len(text)])})
@@ -301,8 +315,8 @@ def price_words(table: DataFrame, asked_: DataFrame, priced: DataFrame, folder:
 
 
 def document_costs(table: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, lang, trusted, n_symbols, cost) from the chunks and their words' costs."""
-    schema = "doc_id long, lang string, trusted boolean, n_symbols long, cost long"
+    """(doc_id, lang, role, n_symbols, cost) from the chunks and their words' costs."""
+    schema = "doc_id long, lang string, role int, n_symbols long, cost long"
 
     def load(chunk: int) -> np.ndarray:
         fs, name = C.open_fs(f"{folder}/{chunk}.costs")
@@ -320,9 +334,9 @@ def document_costs(table: DataFrame, folder: str) -> DataFrame:
                 if len(got) and held != chunk:
                     held, costs_ = chunk, load(chunk)
                 sums.append(int((costs_[got] * n).sum()) if len(got) else 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "trusted", "n_symbols", "cost"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "role", "n_symbols", "cost"])
 
-    return table.where("words is null").select("doc_id", "lang", "trusted", "n_symbols", "chunk", "ids", "times").mapInArrow(task, schema)
+    return table.where("words is null").select("doc_id", "lang", "role", "n_symbols", "chunk", "ids", "times").mapInArrow(task, schema)
 
 
 def price_grams(asked_: DataFrame, priced: DataFrame, folder: str) -> DataFrame:
@@ -343,7 +357,7 @@ def price_grams(asked_: DataFrame, priced: DataFrame, folder: str) -> DataFrame:
 
 def text_costs(table: DataFrame, folder: str, order: int) -> DataFrame:
     """document_costs() of text_chunks()."""
-    schema = "doc_id long, lang string, trusted boolean, n_symbols long, cost long"
+    schema = "doc_id long, lang string, role int, n_symbols long, cost long"
 
     def load(chunk: int) -> tuple[np.ndarray, np.ndarray]:
         fs, name = C.open_fs(f"{folder}/{chunk}.costs")
@@ -366,14 +380,14 @@ def text_costs(table: DataFrame, folder: str, order: int) -> DataFrame:
                     if not (codes[at] == got).all():
                         raise ValueError("an n-gram has no cost")
                     sums += np.bincount(text, weights=costs_[at][back], minlength=len(sums)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "trusted", "n_symbols", "cost"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(sums, pa.int64())], ["doc_id", "lang", "role", "n_symbols", "cost"])
 
-    return table.where("codes is null").select("doc_id", "lang", "trusted", "n_symbols", "chunk", "text").mapInArrow(task, schema)
+    return table.where("codes is null").select("doc_id", "lang", "role", "n_symbols", "chunk", "text").mapInArrow(task, schema)
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(of, threshold): of each language the bin, in 1/1000 nats, that the quantile of trusted documents lies in."""
-    bins = scored.where("trusted and n_symbols > 0").groupBy("lang", F.floor(F.col("cost") / F.col("n_symbols") / (UNIT / 1000)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, role: int = COUNTED) -> DataFrame:
+    """(of, threshold): of each language the bin, in 1/1000 nats, that the quantile of the documents of that role lies in."""
+    bins = scored.where((F.col("role") == role) & (F.col("n_symbols") > 0)).groupBy("lang", F.floor(F.col("cost") / F.col("n_symbols") / (UNIT / 1000)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     own = bins.select(F.struct("lang").alias("of"), "bin", "n")
     everywhere = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("struct<lang:string>").alias("of"), "bin", "n")
     upto = F.expr("sum(n) over (partition by of order by bin)")
@@ -382,14 +396,18 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.where(F.col("upto") >= F.ceil(F.col("whole") * quantile)).groupBy("of").agg(F.min("bin").alias("threshold"))
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, across: bool = False) -> DataFrame:
+def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, across: bool = False, folds: int = FOLDS) -> DataFrame:
     """Per document of docs (doc_id, text, lang): n_symbols, perplexity by symbol, its language's threshold, and keep.
 
-    labels (doc_id, quality): quality 1 marks trusted text.  across: contexts run over word boundaries.
+    labels (doc_id, quality): quality 1 marks trusted text.  across: contexts run over word boundaries.  One in folds of
+    the trusted texts is held out for the thresholds; with 0, those that were counted give them.
     """
     spark = docs.sparkSession
     trusted = C.pick(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    table = text_chunks(docs, trusted, order) if across else chunks(docs, trusted)
+    table = text_chunks(docs, trusted, order, folds) if across else chunks(docs, trusted, folds)
+    roles = {r.role for r in table.where("n_symbols > 0").select("role").distinct().collect()}
+    if HELD in roles and COUNTED not in roles:
+        return perplexity(docs, labels, order, quantile, across, 0)
     asked_ = text_asked(table) if across else asked(table, order)
     priced = costs(asked_.groupBy("code").agg(F.sum("n").alias("n")), order)
     folder = C.shared_folder(spark, "word-costs")
@@ -397,7 +415,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     written.agg(F.sum("n")).collect()
     scored = C.stored(text_costs(table, folder, order) if across else document_costs(table, folder), "scored")
     # languages are few: the table has a row for each
-    limits = {r.of: r.threshold for r in thresholds(scored, quantile).collect()}
+    limits = {r.of: r.threshold for r in thresholds(scored, quantile, HELD if HELD in roles else COUNTED).collect()}
     default = limits.pop(None, None)
     known = {of.lang: t for of, t in limits.items()}
     limit = F.lit(default).cast("long")
@@ -405,4 +423,4 @@ def perplexity(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(t).cast("long")).otherwise(limit)
     mean = F.when(F.col("n_symbols") > 0, F.col("cost") / F.col("n_symbols") / UNIT)
     keep = mean.isNotNull() & F.coalesce(F.floor(mean * 1000) <= limit, F.lit(True))
-    return scored.select("doc_id", "lang", "n_symbols", F.exp(mean).alias("perplexity"), F.exp((limit + 1) / 1000).alias("threshold"), "trusted", keep.alias("keep"))
+    return scored.select("doc_id", "lang", "n_symbols", F.exp(mean).alias("perplexity"), F.exp((limit + 1) / 1000).alias("threshold"), (F.col("role") > OTHER).alias("trusted"), keep.alias("keep"))

@@ -31,7 +31,8 @@ from . import _common as C
 ORDER = 4
 SAMPLE_DOCS = 800
 UNIT = 1024
-MEMO = 400_000
+#: Words, and their letters in all, that a worker remembers before it begins anew.
+MEMO, MEMO_LETTERS = 400_000, 32 << 20
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
@@ -121,14 +122,16 @@ class _Costs:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.numbers: dict[str, int] = {"": 0}
+        self.letters = 0
         self.table = np.zeros((1024, len(model.langs)), np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """A row of costs for each word; '' costs nothing."""
-        if len(self.numbers) > MEMO:
-            self.numbers = {"": 0}
+        if len(self.numbers) > MEMO or self.letters > MEMO_LETTERS:
+            self.numbers, self.letters = {"": 0}, 0
         numbers = self.numbers
         new = [w for w in words if w not in numbers]
+        self.letters += sum(map(len, new))
         while len(numbers) + len(new) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         for w in new:

@@ -39,7 +39,8 @@ STEM = (4, 5, 6, 7)
 #: Letters of a term from which two edits are allowed, and of a stem from which one is.
 LONG = 9
 FUZZY = 6
-MEMO = 400_000
+#: Words, and their letters in all, that a worker remembers before it begins anew.
+MEMO, MEMO_LETTERS = 400_000, 32 << 20
 NONE, TERM, STEMMED, DISGUISED, MISSPELLED, LEANING = range(6)
 FEATURES = ("term", "stem", "disguised", "misspelled", "leaning", "aimed", "quoted", "words")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, hits long, quoted long"
@@ -170,14 +171,16 @@ class _Kinds:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.memo: dict[str, int] = {}
+        self.letters = 0
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO:
-            self.memo = {}
+        if len(self.memo) > MEMO or self.letters > MEMO_LETTERS:
+            self.memo, self.letters = {}, 0
         memo, kind = self.memo, self.lexicon.kind
         for w in words:
             if w not in memo:
                 memo[w] = kind(w if w.isascii() else w.lower())
+                self.letters += len(w)
         return np.fromiter(map(memo.__getitem__, words), np.int8, len(words))
 
 

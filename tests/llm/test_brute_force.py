@@ -229,7 +229,7 @@ def test_kneser_ney(spark):
 
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in known], "doc_id long, quality int")
-    for r in kneser_ney.perplexity(docs, labels, order).collect():
+    for r in kneser_ney.perplexity(docs, labels, order, folds=0).collect():
         costs = [-math.log(p(s[max(0, q - order + 1) : q + 1])) for w in rows[r.doc_id][1].encode().split() for s in [b" " + w + b" "] for q in range(1, len(s))]
         assert r.n_symbols == len(costs)
         if costs:

@@ -41,7 +41,7 @@ def test_kneser_ney_across_words(spark, order):
 
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in known], "doc_id long, quality int")
-    for r in kneser_ney.perplexity(docs, labels, order, across=True).collect():
+    for r in kneser_ney.perplexity(docs, labels, order, across=True, folds=0).collect():
         s = whole[r.doc_id]
         costs = [-math.log(p(s[max(0, q - order + 1) : q + 1])) for q in range(1, len(s))]
         assert r.n_symbols == len(costs)
@@ -103,3 +103,36 @@ def test_one_of_each_without_and_with_repeated_ids(spark):
     rows = [(None, a, "en"), (None, a, "de"), (1, a, "en"), (None, b, "en"), (None, b, "fr"), (1, c, "en")]
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr) == sorted([(1, a), (None, b), (1, c)], key=repr)
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_thresholds_come_from_held_out_texts(spark, across):
+    """Thresholds and keep against a plain computation over the perplexities."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30)))
+    rows = [(i, text(), "xy"[i % 2]) for i in range(300)] + [(900, "zz " * 9, "z"), (901, "a" * 100_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    trusted = labels.select("doc_id")
+    role = {r.doc_id: r.role for r in kneser_ney.marked(docs, trusted, 5).collect()}
+    assert 10 < sum(v == kneser_ney.HELD for v in role.values()) < 80
+    got = {r.doc_id: r for r in kneser_ney.perplexity(docs, labels, 3, 0.9, across, 5).collect()}
+    bins = {i: math.floor(math.log(r.perplexity) * 1000 + 1e-6) for i, r in got.items()}
+
+    def at(ids):
+        have = sorted(bins[i] for i in ids)
+        return have[math.ceil(len(have) * 0.9) - 1]
+
+    held = [i for i, v in role.items() if v == kneser_ney.HELD]
+    limit = {lang: at([i for i in held if got[i].lang == lang] or held) for lang in "xyz"}
+    for i, r in got.items():
+        assert r.trusted == (i < 200)
+        assert math.log(r.threshold) * 1000 - 1 == pytest.approx(limit[r.lang], abs=1.01)
+        assert r.keep == (bins[i] <= limit[r.lang]) or abs(bins[i] - limit[r.lang]) <= 1
+
+
+def test_very_long_words(spark):
+    docs = spark.createDataFrame([(1, "ab" * 1_500_000, "x"), (2, "ab ab", "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    for across in (True, False):
+        assert {r.doc_id: r.n_symbols for r in kneser_ney.perplexity(docs, labels, across=across).collect()} == {1: 3_000_001, 2: 6}
