@@ -33,7 +33,8 @@ from . import _common as C
 
 MOST_TOXIC = 4_000
 MOST_CLEAN = 16_000
-CLEAN_WORDS = 50_000
+#: Letters from which misspellings of a term count: nearly every word of two or three letters is one edit from some other.
+SHORT = 4
 WINDOW = 4
 STEM = (4, 5, 6, 7)
 #: Letters of a term from which two edits are allowed, and of a stem from which one is.
@@ -123,10 +124,11 @@ class Trie:
 class Lexicon:
     def __init__(self, terms: set[str], stems: set[str], leaning: set[str], clean: set[str]) -> None:
         self.terms, self.stems, self.leaning = terms, stems, leaning
-        self.trie = Trie({t for t in terms if len(t) >= 4})
+        self.trie = Trie({t for t in terms if len(t) >= SHORT})
         self.long = Trie({t for t in terms if len(t) >= LONG})
         self.prefixes = Trie({s for s in stems if len(s) >= FUZZY})
         self.starts = {s[: STEM[0]] for s in stems | leaning}
+        #: What these words are, whatever they are near to.
         self.known = {w: self._stem(w) for w in clean} | {t: STEMMED if self._stem(t) == STEMMED else TERM for t in terms}
 
     def _stem(self, word: str) -> int:
@@ -151,7 +153,7 @@ class Lexicon:
             word = plain
         if _REPEATS.search(word) and (self._exact(_REPEATS.sub(r"\1", word)) or self._exact(_REPEATS.sub(r"\1\1", word))):
             return DISGUISED
-        if len(word) >= 4 and self.trie.may_be_near(word) and self.trie.near(word):
+        if len(word) >= SHORT - 1 and self.trie.may_be_near(word) and self.trie.near(word):
             return MISSPELLED
         if len(word) >= LONG - 2 and self.long.may_be_near_twice(word) and self.long.near(word, 2):
             return MISSPELLED
@@ -288,10 +290,9 @@ def _learn_terms(sample: DataFrame) -> Lexicon:
     both = F.col("toxic") + F.col("clean")
     gain = F.col("toxic") * F.log(F.col("toxic") / (both * rate)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * max(1 - rate, 1e-9)))).otherwise(0)
     odds = F.col("toxic") * max(clean, 1) / ((F.col("clean") + 0.5) * toxic)
-    rows = counts.where(F.col("toxic") >= 3).select("term", "toxic", odds.alias("odds"), gain.alias("gain")).where((F.col("gain") >= bar) & (F.col("odds") >= 5)).orderBy(F.desc("gain"), "term").limit(20_000).collect()
+    rows = counts.where(F.col("toxic") >= 3).select("term", "toxic", odds.alias("odds"), gain.alias("gain")).where((F.col("gain") >= bar) & (F.col("odds") >= 5)).collect()  # at most the sample's words
     strong = {r.term: r.toxic for r in rows if r.odds >= 50}
     leaning = {r.term[:-1] for r in rows if r.odds < 50 and r.term[-1] == "*"}
-    usual = {r.term for r in counts.where(~F.col("term").endswith("*") & (F.col("clean") >= 2)).orderBy(F.desc("clean"), "term").limit(CLEAN_WORDS).collect()}
     # a stem is one only if it covers clearly more documents than its most frequent word
     whole = {t: n for t, n in strong.items() if t[-1] != "*"}
     top: Counter = Counter()
@@ -301,7 +302,15 @@ def _learn_terms(sample: DataFrame) -> Lexicon:
                 top[t[:k]] = max(top[t[:k]], n)
     stems = {t[:-1] for t, n in strong.items() if t[-1] == "*" and n >= 2 * top[t[:-1]]}
     stems = {s for s in stems if not any(s[:k] in stems for k in STEM if k < len(s))}
-    return Lexicon(set(whole), stems, leaning, usual - set(whole))
+    bare = Lexicon(set(whole), stems, leaning, set())
+
+    def odd(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of words that are usual in clean text, those that would be taken for terms or hold a stem."""
+        for batch in batches:
+            yield batch.filter(pa.array([w not in bare.terms and bare.kind(w) not in (NONE, LEANING) for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    usual = counts.where(~F.col("term").endswith("*") & (F.col("clean") >= 2)).select("term").mapInArrow(odd, "term string")
+    return Lexicon(bare.terms, stems, leaning, {r.term for r in usual.collect()})
 
 
 def _counts(rows: DataFrame, lexicon: Lexicon, keep: int, schema: str, finish) -> DataFrame:
