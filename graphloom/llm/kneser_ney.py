@@ -42,7 +42,7 @@ from . import _common as C
 
 ORDER = 5
 QUANTILE = 0.995
-FOLDS = 10
+FOLDS = 2
 #: What a document is to the model.
 OTHER, COUNTED, HELD = range(3)
 CHUNK_WORDS = 300_000
