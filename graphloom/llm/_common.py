@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,15 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make() returns, stored; all else that it wrote to the shared folder on the way is deleted."""
+    before = set(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+    out = stored(make(), tag)
+    for path in _WRITTEN[spark.sparkContext.applicationId] - before - {out._stored_at}:
+        _delete(spark, path)
+    return out
+
+
 #: A key with more than 1 in SHARES of all rows is joined by broadcast: there are fewer than SHARES of them.
 SHARES = 1000
 

@@ -59,6 +59,7 @@ class Targets:
     sources: dict[str, float] = field(default_factory=dict)
     temper: float = 0.5  # an unlisted source's share goes with its weight to this power
     budget: float = 0.5  # expected share of all tokens that is kept
+    least: float = 0.05  # what the budget may be cut to
 
 
 def topic_of(text: Column) -> Column:
@@ -109,6 +110,18 @@ def _present(goals: list[float], weights: list[float]) -> list[float]:
     return [g / there if w > 0 and there > 0 else 0.0 for g, w in zip(goals, weights, strict=True)]
 
 
+def _filled(goals: list[float], caps: list[float]) -> list[float]:
+    """Shares in proportion to goals, none above its cap."""
+    full: set[int] = set()
+    while True:
+        left, open_ = 1 - sum(caps[i] for i in full), sum(g for i, g in enumerate(goals) if i not in full)
+        out = [caps[i] if i in full else g * left / open_ for i, g in enumerate(goals)] if open_ else list(caps)
+        more = {i for i, x in enumerate(out) if i not in full and x > caps[i] * (1 + 1e-12)}
+        if not more:
+            return out
+        full |= more
+
+
 def _source_factor(f: list[float]) -> str:
     """SQL for x with sum(w * min(1, x * f)) = goal, exactly: of the cells by ascending f, the longest run that stays under 1 shares what the others leave."""
     order = sorted((k for k in range(len(f)) if f[k] > 0), key=f.__getitem__)
@@ -122,19 +135,22 @@ def _source_factor(f: list[float]) -> str:
 def _goals(sources: DataFrame, targets: Targets, need: float) -> DataFrame:
     """sources (own_source, ws, reach) with goal, in tokens of `need` in all: listed shares, the rest by tempered and capped weight."""
     listed = {n: x for n, x in targets.sources.items() if n != OTHER}
-    own = F.create_map(*(F.lit(x) for kv in listed.items() for x in kv))[F.col("own_source")] if listed else F.lit(None).cast("double")
-    sized = sources.withColumn("own", own).withColumn("tempered", F.when(F.col("own").isNull() & (F.col("reach") > 0), F.pow("reach", F.lit(targets.temper))).otherwise(0.0))
-    sums = sized.agg(F.sum("reach").alias("reach"), F.sum(F.when(F.col("reach") > 0, F.col("own"))).alias("own"), F.sum("tempered").alias("open")).first()
-    rest = (targets.sources.get(OTHER, max(0.0, 1.0 - (sums["own"] or 0.0))) if listed else 1.0) if sums["open"] else 0.0
-    whole = (sums["own"] or 0.0) + rest  # shares of absent sources go to the others
-    cap = F.col("reach") * (1 + need / sums["reach"]) / 2
+    own = F.col("own_source").isin(*listed) if listed else F.lit(False)
+    sized = sources.withColumn("own", own).withColumn("tempered", F.when(~F.col("own") & (F.col("reach") > 0), F.pow("reach", F.lit(targets.temper))).otherwise(0.0))
+    sums = sized.agg(F.sum("reach").alias("reach"), F.sum("tempered").alias("open"), F.sum(F.when(~F.col("own"), F.col("reach"))).alias("rest")).first()
+    have = {r.own_source: r.reach for r in sized.where("own").select("own_source", "reach").collect()} if listed else {}  # as many as are listed
+    names = [n for n in listed if have.get(n)]
+    goals = [listed[n] for n in names] + ([targets.sources.get(OTHER, max(0.0, 1 - sum(listed.values()))) if listed else 1.0] if sums["open"] else [])
+    shares = _filled(_present(goals, goals), [have[n] / need for n in names] + ([sums["rest"] / need] if sums["open"] else []))
+    rest = shares[len(names)] * need if sums["open"] else 0.0
+    cap = F.col("reach") * (1 + rest / (sums["rest"] or 1.0)) / 2
     c, before = 0.0, -1.0
-    while c != before and sums["open"]:
+    while c != before and rest:
         full = F.col("tempered") * c > cap
-        s = sized.where("own is null").agg(F.sum(F.when(full, cap)).alias("full"), F.sum(F.when(~full, F.col("tempered"))).alias("open")).first()
-        before, c = c, max(c, (need * rest / whole - (s["full"] or 0.0)) / s["open"]) if s["open"] else c
-    share = F.when(F.col("reach") > 0, F.col("own") / whole * need)
-    return sized.withColumn("goal", F.coalesce(share, F.least(F.col("tempered") * c, cap), F.lit(0.0))).drop("own", "tempered")
+        s = sized.where("not own").agg(F.sum(F.when(full, cap)).alias("full"), F.sum(F.when(~full, F.col("tempered"))).alias("open")).first()
+        before, c = c, max(c, (rest - (s["full"] or 0.0)) / s["open"]) if s["open"] else c
+    named = F.create_map(*(F.lit(x) for n, g in zip(names, shares, strict=False) for x in (n, g * need)))[F.col("own_source")] if names else F.lit(None).cast("double")
+    return sized.withColumn("goal", F.coalesce(named, F.when(~F.col("own"), F.least(F.col("tempered") * c, cap)), F.lit(0.0))).drop("own", "tempered")
 
 
 def rake(rows: DataFrame, targets: Targets) -> Fit:
@@ -153,18 +169,20 @@ def rake(rows: DataFrame, targets: Targets) -> Fit:
     goal_l, goal_t = _present(goal_l, by_l), _present(goal_t, by_t)
     reach = reduce(Column.__add__, (F.get("ws", F.lit(k)) for k in range(size) if open_[k])) if any(open_) else F.lit(0.0)
     sources = table.withColumn("reach", reach)
-    budget = min([targets.budget, *(w / whole / g for gs, ws in ((goal_l, by_l), (goal_t, by_t)) for g, w in zip(gs, ws, strict=True) if g > 0)]) if whole else 0.0
-    listed = {n: x for n, x in targets.sources.items() if n != OTHER and x > 0}
-    if listed and whole:
-        there = {r.own_source: r.reach for r in sources.where(F.col("own_source").isin(*listed) & (F.col("reach") > 0)).select("own_source", "reach").collect()}
-        budget = min([budget, *(w / whole / listed[n] for n, w in there.items())])
+    listed = [n for n, x in targets.sources.items() if n != OTHER and x > 0]
+    there = {r.own_source: r.reach for r in sources.where(F.col("own_source").isin(*listed) & (F.col("reach") > 0)).select("own_source", "reach").collect()} if listed and whole else {}
+    room = [(w, g) for gs, ws in ((goal_l, by_l), (goal_t, by_t)) for g, w in zip(gs, ws, strict=True)] + [(w, targets.sources[n]) for n, w in there.items()]
+    most = sum(weight) / whole if whole else 0.0
+    least = min(targets.least, targets.budget, most)
+    budget = max(least, min([targets.budget, most, *(w / whole / g for w, g in room if g > 0)])) if whole else 0.0
     if not budget:
         return Fit(sources.select("own_source", "ws", F.lit(0.0).alias("x")), [0.0] * nl, [0.0] * nt, 0.0, 0.0, 0)
+    goal_l, goal_t = (_filled(g, [w / whole / budget for w in ws]) for g, ws in ((goal_l, by_l), (goal_t, by_t)))
     goals = C.stored(_goals(sources, targets, budget * whole), "mixing-goals", table)
     rounds = 0
     for cut in range(CUTS):
-        share = budget * CUT**cut
-        sized = goals.withColumn("goal", F.col("goal") * CUT**cut)
+        share = max(budget * CUT**cut, least)
+        sized = goals.withColumn("goal", F.col("goal") * (share / budget))
         v, u, error = [float(g > 0) for g in goal_l], [share * (g > 0) for g in goal_t], 1.0
         mark = 0.0
         for nth in range(1, ROUNDS + 1):
@@ -187,7 +205,7 @@ def rake(rows: DataFrame, targets: Targets) -> Fit:
             v = [y * b for y, b in zip(v, by, strict=True)]
             move = [m * by[k // nt] for k, m in enumerate(move)]
             u = [y * _step(g * need, a, sum(move[t::nt])) for t, (y, g, (a, _)) in enumerate(zip(u, goal_t, of_t, strict=True))]
-        if error <= TOLERANCE:
+        if error <= TOLERANCE or share == least:
             break
     return Fit(x.select("own_source", "ws", "x"), v, u, share, error, rounds)
 
@@ -259,18 +277,22 @@ e AS MATERIALIZED (SELECT *, coalesce(source, '') AS s, {listed('lang', targets.
 gl0(l, gl0) AS (VALUES {goals(targets.languages)}), gt0(t, gt0) AS (VALUES {goals(targets.topics)}),
 w0 AS MATERIALIZED (SELECT s, l, t, sum(tokens)::DOUBLE AS w FROM e GROUP BY ALL), n AS (SELECT sum(w) AS n FROM w0),
 w1 AS MATERIALIZED (SELECT * FROM w0 JOIN gl0 USING (l) JOIN gt0 USING (t)),
-gl AS (SELECT l, gl0 / sum(gl0) OVER () AS gl FROM gl0 WHERE l IN (SELECT l FROM w1)), gt AS (SELECT t, gt0 / sum(gt0) OVER () AS gt FROM gt0 WHERE t IN (SELECT t FROM w1)),
-b AS MATERIALIZED (SELECT least({targets.budget!r}::DOUBLE, (SELECT min(w / n / gl) FROM (SELECT l, sum(w) AS w FROM w1 GROUP BY 1) JOIN gl USING (l)), (SELECT min(w / n / gt) FROM (SELECT t, sum(w) AS w FROM w1 GROUP BY 1) JOIN gt USING (t))) AS b, n FROM n),
+ax AS MATERIALIZED (SELECT 'l' AS a, l AS c, sum(w) AS w, any_value(gl0) AS g FROM w1 GROUP BY 2 UNION ALL SELECT 't', t, sum(w), any_value(gt0) FROM w1 GROUP BY 2),
+ag AS MATERIALIZED (SELECT a, c, w, g / sum(g) OVER (PARTITION BY a) AS g FROM ax),
+b AS MATERIALIZED (SELECT greatest(least0, least({targets.budget!r}::DOUBLE, most, (SELECT min(w / n / g) FROM ag))) AS b, n, least0 FROM (SELECT n, (SELECT sum(w) FROM w1) / n AS most, least({targets.least!r}::DOUBLE, {targets.budget!r}::DOUBLE, (SELECT sum(w) FROM w1) / n) AS least0 FROM n)),
+af AS (SELECT *, (1 - coalesce(sum(cap) OVER (PARTITION BY a ORDER BY cap / g, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(g) OVER (PARTITION BY a ORDER BY cap / g, c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM (SELECT ag.*, w / n / b AS cap FROM ag, b)),
+ah AS MATERIALIZED (SELECT a, c, least(g * coalesce(max(x) FILTER (x * g <= cap * (1 + 1e-12)) OVER (PARTITION BY a), 1e300), cap) AS g FROM af),
+gl AS (SELECT c AS l, g AS gl FROM ah WHERE a = 'l'), gt AS (SELECT c AS t, g AS gt FROM ah WHERE a = 't'),
 ss AS (SELECT s, sum(w) AS w, pow(sum(w), {targets.temper!r}) AS tw FROM w1 GROUP BY 1),
 sc AS (SELECT s, w, tw, w * (1 + b * n / sum(w) OVER ()) / 2 AS cap, b * n AS need FROM ss, b),
 so AS (SELECT *, (need - coalesce(sum(cap) OVER (ORDER BY w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(tw) OVER (ORDER BY w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM sc),
 gs AS (SELECT s, least(tw * (SELECT arg_min(c, (w, s)) FROM so WHERE c * tw <= cap), cap) AS g FROM so),
 r AS (
-SELECT 0 AS cut, 1 AS nth, s, l, t, w, g, gl, gt, b AS share, b * n AS need, b AS f, 0.0::DOUBLE AS p, 0.0::DOUBLE AS mark, false AS done FROM w1 JOIN gl USING (l) JOIN gt USING (t) JOIN gs USING (s), b
+SELECT 0 AS cut, 1 AS nth, s, l, t, w, g, gl, gt, b AS share, b * n AS need, n, least0, b AS f, 0.0::DOUBLE AS p, 0.0::DOUBLE AS mark, false AS done FROM w1 JOIN gl USING (l) JOIN gt USING (t) JOIN gs USING (s), b
 UNION ALL
-SELECT CASE WHEN again THEN cut + 1 ELSE cut END, CASE WHEN again THEN 1 ELSE nth + 1 END, s, l, t, w, CASE WHEN again THEN g * {CUT} ELSE g END, gl, gt, CASE WHEN again THEN share * {CUT} ELSE share END, CASE WHEN again THEN need * {CUT} ELSE need END,
-  CASE WHEN again THEN share * {CUT} ELSE f * bl * {step('gt * need', 'ts', 'tm')} END, p, CASE WHEN nth = 1 OR nth % {TRIAL} = 0 THEN err ELSE mark END, stop AND NOT again
-FROM (SELECT *, err < {EXACT!r} OR nth = {ROUNDS} OR nth % {TRIAL} = 0 AND err > greatest({TOLERANCE!r}, {NEARER!r} * mark) AS stop, err > {TOLERANCE!r} AND (nth = {ROUNDS} OR nth % {TRIAL} = 0 AND err > {NEARER!r} * mark) AND cut < {CUTS - 1} AS again, {of('w * p * bl', 'p < 1', 't')} AS tm
+SELECT CASE WHEN again THEN cut + 1 ELSE cut END, CASE WHEN again THEN 1 ELSE nth + 1 END, s, l, t, w, CASE WHEN again THEN g * greatest(share * {CUT}, least0) / share ELSE g END, gl, gt, CASE WHEN again THEN greatest(share * {CUT}, least0) ELSE share END, CASE WHEN again THEN greatest(share * {CUT}, least0) * n ELSE need END, n, least0,
+  CASE WHEN again THEN greatest(share * {CUT}, least0) ELSE f * bl * {step('gt * need', 'ts', 'tm')} END, p, CASE WHEN nth = 1 OR nth % {TRIAL} = 0 THEN err ELSE mark END, stop AND NOT again
+FROM (SELECT *, err < {EXACT!r} OR nth = {ROUNDS} OR nth % {TRIAL} = 0 AND err > greatest({TOLERANCE!r}, {NEARER!r} * mark) AS stop, err > {TOLERANCE!r} AND (nth = {ROUNDS} OR nth % {TRIAL} = 0 AND err > {NEARER!r} * mark) AND cut < {CUTS - 1} AND share > least0 AS again, {of('w * p * bl', 'p < 1', 't')} AS tm
  FROM (SELECT *, {step('gl * need', 'ls', 'lm')} AS bl, greatest(max(abs((ls + lm) / need - gl)) OVER (), max(abs((ts + tm0) / need - gt)) OVER ()) AS err
   FROM (SELECT *, {of('w', 'p >= 1', 'l')} AS ls, {of('w * p', 'p < 1', 'l')} AS lm, {of('w', 'p >= 1', 't')} AS ts, {of('w * p', 'p < 1', 't')} AS tm0
    FROM (SELECT * EXCLUDE (p, xi, k), f * coalesce(arg_max(xi, k) FILTER (xi > 0 AND xi * f <= 1) OVER (PARTITION BY s), 1 / min(f) OVER (PARTITION BY s)) AS p

@@ -87,6 +87,16 @@ def test_what_excludes_one_another(spark):
     assert f.error > 0.1 and all(0 <= r.probability <= 1 for r in M.probabilities(f).collect())
 
 
+def test_a_class_of_few_tokens_does_not_empty_the_mixture(spark):
+    """Two tokens can't be a tenth of much: they are all kept, and the others keep their shares to one another."""
+    rows = [(i, "w " * 20 + ".", "ab"[i % 2], "s", 1) for i in range(400)] + [(900, "w .", "c", "s", 1)]
+    t = M.Targets(languages={"a": 0.6, "b": 0.3, "c": 0.1}, topics={M.OTHER: 1.0}, budget=0.4, least=0.2)
+    f = fit(spark.createDataFrame(rows, DOCS), t)
+    got = shares(f, t)["language"]
+    assert f.error < 1e-9 and f.budget == 0.2 and got["a"] == pytest.approx(2 * got["b"], rel=1e-4)
+    assert {r.probability for r in M.mix(spark.createDataFrame(rows, DOCS), t).where("lang = 'c'").collect()} == {1.0}
+
+
 def test_hot_and_tiny_sources(spark):
     """A source of most rows, many of one row: tempered, none asked for more than it has."""
     rows = [(i, "w " * 20 + ".", "ab"[i % 2], "hot" if i % 3 else f"s{i}", 1) for i in range(600)]
