@@ -6,6 +6,8 @@ supersedes array<string>, superseded_by, body_hash, file_order).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +101,22 @@ def affected(decisions: DataFrame, changes: DataFrame) -> DataFrame:
     return best.select("id", F.get(F.array(F.lit("removed"), F.lit("modified"), F.lit("path")), F.col("rank")).alias("reason"))
 
 
-def listed(decisions: DataFrame, status: str | None = None, text: str | None = None, limit: int = 50) -> DataFrame:
+def anchored(anchor: str) -> Column:
+    """Whether a decision has this node, in whatever repository, as an anchor, or governs this path."""
+    if anchor.startswith("rs1:"):
+        suffix = id_suffix(F.lit(anchor))
+        return F.exists("anchors", lambda a: (a["node_id"] == anchor) | F.coalesce(id_suffix(a["node_id"]) == suffix, F.lit(False)))
+    under = lambda p: (p == anchor) | (p.endswith("/") & F.startswith(F.lit(anchor), p))
+    return F.exists("anchors", lambda a: a["path"] == anchor) | F.exists("paths", under)
+
+
+def listed(decisions: DataFrame, status: str | None = None, text: str | None = None, limit: int = 50, anchor: str | None = None) -> DataFrame:
+    """The newest decisions of a status, with an anchor, and with a text in title, context or decision."""
     rows = decisions if status is None else decisions.where(F.col("status") == status)
+    if anchor is not None:
+        rows = rows.where(anchored(anchor))
     if text:
-        low = F.lower(F.concat_ws(" ", "title", "id"))
-        rows = rows.where(low.contains(text.lower()))
+        rows = rows.where(reduce(Column.__or__, (F.coalesce(F.lower(c).contains(text.lower()), F.lit(False)) for c in ("title", "context", "decision"))))
     return rows.orderBy(F.desc("decided_at"), "id").limit(min(limit, 50))
 
 
@@ -118,6 +131,32 @@ def supersession(decisions: DataFrame) -> DataFrame:
     return decisions.join(listing, "id", "left").select("id", F.coalesce("superseded_by", "by").alias("superseded_by"))
 
 
+def supersession_chain(decisions: DataFrame) -> DataFrame:
+    """(id, newer, steps): every decision that supersedes id, directly or through others; cycles end where they close."""
+    links = supersession(decisions).where("superseded_by is not null").select("id", F.col("superseded_by").alias("newer"))
+    links = cut_lineage(links.where("id <> newer"))
+    out = frontier = links.withColumn("steps", F.lit(1))
+    while True:
+        more = frontier.join(links.select(F.col("id").alias("newer"), F.col("newer").alias("next")), "newer").where("id <> next").select("id", F.col("next").alias("newer"), (F.col("steps") + 1).alias("steps"))
+        frontier = cut_lineage(more.join(out, ["id", "newer"], "left_anti").dropDuplicates(["id", "newer"]))
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)
+
+
+def record(decisions: DataFrame, new: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, pending) after new decisions: those that they supersede are flipped, the drift that their anchors cover is taken off.
+
+    new: like decisions, with checked fields and minted ids; pending: (id, change).
+    """
+    by = new.select(F.col("id").alias("by"), F.explode("supersedes").alias("id")).groupBy("id").agg(F.min("by").alias("by"))
+    old = decisions.join(new.select("id"), "id", "left_anti").join(by, "id", "left")
+    flipped = old.withColumn("superseded_by", F.coalesce("by", "superseded_by")).withColumn("status", F.when(F.col("by").isNotNull(), "superseded").otherwise(F.col("status")))
+    covered = new.select(F.explode("anchors").alias("a")).select(F.coalesce(id_suffix(F.col("a.node_id")), F.col("a.node_id")).alias("suffix")).distinct()
+    left = pending.withColumn("suffix", F.coalesce(id_suffix(F.col("id")), F.col("id"))).join(covered, "suffix", "left_anti").drop("suffix")
+    return flipped.select(*decisions.columns).unionByName(new.select(*decisions.columns)), left
+
+
 def body_hash(decisions: DataFrame) -> DataFrame:
     """decisions with computed_hash: SHA-256 of the JSON of the fields that may not change, in order of their names."""
     return decisions.withColumn("computed_hash", F.sha2(F.to_json(F.struct(*sorted(c for c in IMMUTABLE if c in decisions.columns))), 256))

@@ -9,8 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys whose strings are ids, how deep and how many ids a result is searched for.
-ID_KEYS = ("id", "node_id", "resolved_node_id", "target_id")
+#: Keys whose strings are ids or paths, keys of lists of ids, how deep and how many a result is searched for.
+ID_KEYS = ("node_id", "id", "decision_id", "file_path", "path")
+ID_LISTS = ("node_ids", "anchor_node_ids")
 MAX_DEPTH, MAX_IDS = 6, 25
 
 
@@ -48,8 +49,14 @@ def touched_ids(result: str) -> list[str]:
             return
         if isinstance(value, dict):
             for k, v in value.items():
-                if k in ID_KEYS and isinstance(v, str) and len(out) < MAX_IDS:
+                if len(out) >= MAX_IDS:
+                    return
+                if k in ID_KEYS and isinstance(v, str):
                     out.setdefault(v)
+                elif k in ID_LISTS and isinstance(v, list):
+                    for x in v:
+                        if isinstance(x, str) and len(out) < MAX_IDS:
+                            out.setdefault(x)
                 else:
                     walk(v, depth + 1)
         elif isinstance(value, list):

@@ -108,6 +108,19 @@ def is_conflict_marker(line: Column) -> Column:
     return line.rlike(r"^(<{7}|={7}|>{7}|\|{7})( |$)")
 
 
+def absorb(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records (id, line), warnings (what, n)) of raw lines (line): conflict markers and lines without an id are left out and counted."""
+    kept = lines.where("trim(line) <> ''").withColumn("id", F.expr("try_variant_get(try_parse_json(line), '$.id', 'string')"))
+    what = F.when(is_conflict_marker(F.col("line")), "conflict").when(F.col("id").isNull(), "malformed")
+    rows = kept.withColumn("what", what)
+    return rows.where("what is null").select("id", "line"), rows.where("what is not null").groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+def conflict_log(existing: DataFrame, losers: DataFrame) -> DataFrame:
+    """(line): both logs' lines, each once, sorted, so that merging logs in any order ends alike."""
+    return existing.select("line").union(losers.select("line")).where("trim(line) <> ''").distinct().orderBy("line")
+
+
 def has_summary(record: Column) -> Column:
     """Of a JSON line: one of the prose fields is a string with more than white space."""
     each = [F.get_json_object(record, f"$.{k}") for k in ("semantic_summary", "purpose_summary")]

@@ -69,6 +69,14 @@ def representatives(nodes: DataFrame, chain: Column, shown: DataFrame) -> DataFr
     return ancestors(nodes, chain).join(shown.select(F.col("key").alias("ancestor")), "ancestor").groupBy("id").agg(F.max_by("ancestor", "depth").alias("rep"))
 
 
+def lod_representatives(reps: DataFrame, shown: DataFrame, active: DataFrame) -> DataFrame:
+    """(id, rep) of reps (id, rep, is_symbol, file): a symbol gives way to its file's shown core, unless the file (file) is active."""
+    core = shown.select(F.col("key").alias("file"), F.lit(True).alias("has_core"))
+    on = active.select("file", F.lit(True).alias("is_active"))
+    rows = reps.join(core, "file", "left").join(on, "file", "left")
+    return rows.select("id", F.when(F.col("is_symbol") & F.col("is_active").isNull() & F.col("has_core"), F.col("file")).otherwise(F.col("rep")).alias("rep"))
+
+
 def filter_edges(edges: DataFrame, hidden: list[str], least: float, audit: bool = False) -> DataFrame:
     """Edges of shown types above the confidence; in an audit only uncertain ones, whatever else is set."""
     if audit:
@@ -112,11 +120,18 @@ def bounds(points: DataFrame) -> DataFrame:
 
 
 def tour(nodes: DataFrame, edges: DataFrame, chain: Column, modules: int = 3) -> DataFrame:
-    """(stop, key, score): the modules with most descendants, the largest hub, type hub and entry point."""
+    """(stop, key, score): the modules with most descendants, the largest hub, the type with most heritage edges and the entry point.
+
+    nodes: (id, kind, ..) and what chain needs; edges: (src, dst, type).
+    """
     under = descendant_counts(nodes, chain)
     inner = ancestors(nodes, chain).where("ancestor <> id").select("ancestor").distinct()
     top = under.join(inner, "ancestor").orderBy(F.desc("descendants"), "ancestor").limit(modules).select(F.lit("module").alias("stop"), F.col("ancestor").alias("key"), F.col("descendants").alias("score"))
     deg = degrees(edges)
     hub = deg.orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "id").limit(1).select(F.lit("hub").alias("stop"), F.col("id").cast("string").alias("key"), (F.col("in_degree") + F.col("out_degree")).alias("score"))
-    entry = deg.where("in_degree = 0").orderBy(F.desc("out_degree"), "id").limit(1).select(F.lit("entry").alias("stop"), F.col("id").cast("string").alias("key"), F.col("out_degree").alias("score"))
-    return top.unionByName(hub).unionByName(entry)
+    kinds = nodes.select(F.col("id").cast("string").alias("key"), "kind")
+    types = degree(edges.where(F.col("type").isin("INHERITS", "IMPLEMENTS"))).select(F.col("id").cast("string").alias("key"), F.col("degree").alias("score"), F.col("id").alias("own"))
+    types = types.join(kinds.where(F.col("kind").isin("Class", "Interface")), "key").orderBy(F.desc("score"), "own").limit(1).select(F.lit("type").alias("stop"), "key", "score")
+    driver = deg.where("out_degree > 0").withColumn("key", F.col("id").cast("string")).join(kinds.where("kind = 'Function'"), "key").join(hub.select("key"), "key", "left_anti")
+    entry = driver.orderBy(F.desc("out_degree"), "id").limit(1).select(F.lit("entry").alias("stop"), "key", F.col("out_degree").alias("score"))
+    return top.unionByName(hub).unionByName(types).unionByName(entry)

@@ -92,10 +92,40 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 25, pool: int = LEXICAL_POOL) -> DataFrame:
-    """(id, score, via): the lexical pool and the vector ranking, fused; via tells which of them has it."""
-    lexical = ranked(bm25f(corpus, query, pool), F.desc("score"), F.asc("id"))
-    near = ranked(nearest(vectors, vector, None), F.desc("similarity"), F.asc("id"))
+def vector_ranks(near: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """(id, rank) by similarity of the first `limit` rows of near (id, similarity) and of those with these ids, which are few.
+
+    The ranks of the latter are counts of what comes before them, taken in one pass: nothing sorts the corpus.
+    """
+    top = ranked(near.orderBy(F.desc("similarity"), "id").limit(limit), F.desc("similarity"), F.asc("id")).select("id", "rank")
+    few = near.join(F.broadcast(ids.select("id")), "id", "left_semi").collect()
+    if not few:
+        return top
+    before = [(F.col("similarity") > r.similarity) | ((F.col("similarity") == r.similarity) & (F.col("id") < r.id)) for r in few]
+    counts = near.agg(*(F.count(F.when(b, 1)).alias(f"n{i}") for i, b in enumerate(before))).first()
+    kind = near.schema["id"].dataType.simpleString()
+    own = near.sparkSession.createDataFrame([(r.id, counts[i] + 1) for i, r in enumerate(few)], f"id {kind}, rank int")
+    return top.join(own.select("id"), "id", "left_anti").unionByName(own)
+
+
+def corpus_of(nodes: DataFrame, decisions: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """What is searched: nodes and decisions (id, kind and the weighted fields), of these kinds only, before any statistics."""
+    rows = nodes if decisions is None else nodes.unionByName(decisions.withColumn("kind", F.lit("Decision")), allowMissingColumns=True)
+    return rows.where(F.col("kind").isin(*kinds)) if kinds else rows
+
+
+def hybrid(corpus: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 25, pool: int = LEXICAL_POOL, kinds: list[str] | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """(id, score, via): the lexical pool and the vector ranking, fused; via tells which of them has it.
+
+    kinds: corpus and vectors are cut to them first.  Only the first `limit` vectors and those of the lexical pool can be
+    in the result, so only these are ranked.
+    """
+    if kinds or decisions is not None:
+        corpus = corpus_of(corpus, decisions, kinds)
+    if kinds:
+        vectors = vectors.join(corpus.select("id"), "id", "left_semi")
+    lexical = cut_lineage(ranked(bm25f(corpus, query, pool), F.desc("score"), F.asc("id")))
+    near = vector_ranks(nearest(vectors, vector, None), lexical, limit)
     each = lexical.select("id", (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("l"), F.lit(None).cast("double").alias("v")).unionByName(near.select("id", F.lit(None).cast("double").alias("l"), (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("v")))
     both = each.groupBy("id").agg(F.max("l").alias("l"), F.max("v").alias("v"))
     via = F.when(F.col("l").isNotNull() & F.col("v").isNotNull(), "hybrid").when(F.col("l").isNotNull(), "lexical").otherwise("vector")

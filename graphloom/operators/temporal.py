@@ -30,10 +30,12 @@ def owners(changes: DataFrame, top: int = TOP_AUTHORS) -> DataFrame:
 def co_changes(changes: DataFrame, support: int = MIN_SUPPORT, most: int = MAX_FILES) -> DataFrame:
     """(a, b, support) of file pairs a < b that change together in commits of 2 to `most` files.
 
-    A commit's files become one sorted array, at most `most` long, and its pairs come from the array, so no self-join
-    shuffles the changes twice and no commit gives more than most * (most - 1) / 2 rows.
+    Commits are counted first, so that a bulk commit's files are never gathered.  Those of the others become one sorted
+    array, at most `most` long, and its pairs come from the array: no commit gives more than most * (most - 1) / 2 rows.
     """
-    sets = changes.select("sha", "path").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("path")).alias("files")).where(F.col("n").between(2, most))
+    rows = changes.select("sha", "path").distinct()
+    small = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most))
+    sets = rows.join(small.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.sort_array(F.collect_list("path")).alias("files"))
     firsts = sets.select(F.posexplode("files").alias("i", "a"), "files")
     pairs = firsts.select("a", F.explode(F.expr("slice(files, i + 2, greatest(size(files) - i - 1, 0))")).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)

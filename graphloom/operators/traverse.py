@@ -16,15 +16,21 @@ from ..functions.paths import is_test_path
 #: Weights of edge types and resolutions in neighbour ranking.
 TYPE_WEIGHT = {"CALLS": 5, "INHERITS": 4, "IMPLEMENTS": 4, "INSTANTIATES": 3, "IMPORTS": 2}
 RESOLUTION_WEIGHT = {"exact": 2, "name_match": 1, "ambiguous": 0}
+#: The wording of a profile.
+NO_SUMMARY, CALLED_BY, CALLS, UNSURE = "no summary yet (read and enrich)", "Called by ", "Calls ", " \u2014 verify]"
+NEIGHBOR_NO_SUMMARY = " (no summary yet \u2014 read and enrich)"
 MAX_NEIGHBORS = 25
 MAX_NODES = 500
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir; in one of our own only where none is set."""
+    """A checkpoint in the shared folder of spark.checkpoint.dir; where none is set, in one of our own in local mode only."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
@@ -44,7 +50,11 @@ def callees_at_two(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def reach(steps: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
-    """(id, depth) of what steps (a -> b) lead to from seeds (id) within depth, or at all; seeds have depth 0."""
+    """(id, depth) of what steps (a -> b) lead to from seeds (id) within depth, or at all; seeds have depth 0.
+
+    The steps are computed once; each level is a table of its own, and what was seen is their union.
+    """
+    steps = cut_lineage(steps)
     seen = cut_lineage(seeds.select("id", F.lit(0).alias("depth")))
     frontier, level = seen, 0
     while depth is None or level < depth:
@@ -53,7 +63,7 @@ def reach(steps: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
         frontier = cut_lineage(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -67,7 +77,7 @@ def impact_capped(edges: DataFrame, seed: DataFrame, depth: int, most: int = MAX
 
     Only the seen nodes, at most `most` and one frontier, are ranked in one place.
     """
-    steps = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    steps = cut_lineage(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     seen = cut_lineage(seed.select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")))
     frontier = seen
     for level in range(1, depth + 1):
@@ -76,7 +86,7 @@ def impact_capped(edges: DataFrame, seed: DataFrame, depth: int, most: int = MAX
         held = seen.count() - 1
         ranked = new.select("id", F.lit(level).alias("depth"), (F.expr("row_number() over (order by by, id)") + held).cast("long").alias("place"))
         frontier = cut_lineage(ranked.where(F.col("place") <= most))
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
         if seen.count() - 1 >= most or frontier.isEmpty():
             break
     return seen.where("depth > 0")
@@ -144,3 +154,26 @@ def profile(edges: DataFrame, targets: DataFrame, most: int = MAX_NEIGHBORS) ->
         part = rows.where(F.col("r") <= most).join(flags, "target").select("target", F.lit(side).alias("side"), F.lit(distance).alias("distance"), "id", "truncated")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def prose(targets: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """(id, text): a profile as sentences.
+
+    targets: (id, repo_id, name, file_path, start_line, end_line, summary); neighbors: (target, side 'up' or 'down', id,
+    repo_id, name, summary, resolution, confidence), which come in order of id.  Neighbours of another repository name
+    it; called ones that aren't exact say how sure they are.
+    """
+    t = targets.select(F.col("id").alias("target"), F.col("repo_id").alias("home"), "name", "file_path", "start_line", "end_line", "summary")
+    n = neighbors.join(t.select("target", "home"), "target")
+    unsure = F.concat(F.lit(" ["), "resolution", F.coalesce(F.concat(F.lit(", confidence "), F.col("confidence").cast("string")), F.lit("")), F.lit(UNSURE))
+    words = F.concat(
+        "name",
+        F.coalesce(F.concat(F.lit(" ("), F.nullif("summary", F.lit("")), F.lit(")")), F.lit(NEIGHBOR_NO_SUMMARY)),
+        F.coalesce(F.when(F.col("repo_id") != F.col("home"), F.concat(F.lit(" [repo: "), "repo_id", F.lit("]"))), F.lit("")),
+        F.coalesce(F.when((F.col("side") == "down") & (F.col("resolution") != "exact"), unsure), F.lit("")),
+    )
+    listed = n.withColumn("words", words).groupBy("target").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("id", "words")))).alias(s) for s in ("up", "down")))
+    said = lambda side, lead, join: F.when(F.size(side) > 0, F.concat(F.lit(lead), F.array_join(F.transform(side, lambda x: x["words"]), join), F.lit(".")))
+    head = F.concat("name", F.lit(" ("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
+    first = F.coalesce(F.concat(head, F.lit(": "), F.nullif("summary", F.lit("")), F.lit(".")), F.concat(head, F.lit(f" \u2014 {NO_SUMMARY}.")))
+    return t.join(listed, "target", "left").select(F.col("target").alias("id"), F.concat_ws(" ", first, said("up", CALLED_BY, ", "), said("down", CALLS, "; ")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions, health, merge, resolve, rollup
-from ..sources import jsonl, tree
+from ..sources import build, jsonl, stores, tree
 from . import workload as W
 from .record_queries import _DEC, _decisions, _NEW, _OLD, _snapshots
 from .registry import query
@@ -68,6 +68,56 @@ def _(spark, d):
     return _resolved(spark, calls, funcs, F.lit(None).cast("string"), bindings=bindings)
 
 
+@query("res09_receiver_types", f"WITH {_METHODS}, ks AS (SELECT min(p_partkey) AS id, p_brand AS qualified, p_type AS file_path FROM part GROUP BY 2, 3), rv AS (SELECT cl.seq AS caller_id, ks.id AS class_id, ks.qualified, ks.file_path FROM cl JOIN ks ON ks.id = cl.seq % 50 + 1) SELECT cl.seq, mt.id AS target FROM cl JOIN rv USING (caller_id) JOIN mt ON mt.file_path = rv.file_path AND mt.qualified = rv.qualified || '.' || callee")
+def _(spark, d):
+    calls, funcs = _methods(spark, d)
+    classes = W.table(spark, d, "part").groupBy(F.col("p_brand").alias("qualified"), F.col("p_type").alias("file_path")).agg(F.min("p_partkey").alias("id")).withColumns({"label": F.lit("Class"), "name": F.col("qualified")})
+    receivers = calls.select("caller_id", F.lit("obj").alias("local"), (F.col("seq") % 50 + 1).alias("class_id")).join(classes.select(F.col("id").alias("class_id")), "class_id", "left_semi")
+    return _resolved(spark, calls, funcs, F.lit("obj"), classes=classes, receivers=receivers)
+
+
+@query("res18_class_lift", f"WITH {_FREE}, ks AS (SELECT s_suppkey AS id, 'g' || (s_suppkey % 60) AS name, 'd/f' || s_nationkey AS file_path FROM supplier), u AS (SELECT name, min(id) AS id FROM ks GROUP BY 1 HAVING count(*) = 1), o AS (SELECT cl.* FROM cl ANTI JOIN fr ON fr.file_path = cl.file_id AND fr.name = callee) SELECT seq AS src, u.id AS dst, 'name_match' AS resolution, 0.7::DOUBLE AS confidence, count(*) AS sites FROM o JOIN u ON u.name = callee GROUP BY 1, 2")
+def _(spark, d):
+    calls, funcs = _free(spark, d)
+    name = F.concat(F.lit("g"), (F.col("s_suppkey") % 60).cast("string"))
+    classes = W.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("Class").alias("label"), name.alias("name"), name.alias("qualified"), F.concat(F.lit("d/f"), F.col("s_nationkey").cast("string")).alias("file_path"))
+    nothing = [spark.createDataFrame([], x) for x in (_NO_BINDINGS, _NO_ALIASES, _NO_RECEIVERS)]
+    calls = calls.withColumn("receiver", F.lit(None).cast("string"))
+    return resolve.call_edges(calls, resolve.resolve_calls(calls, funcs, classes, *nothing), classes, nothing[0])[1]
+
+
+@query("res19_external_calls", f"WITH {_FREE}, o AS (SELECT cl.* FROM cl WHERE callee NOT IN (SELECT name FROM fr)), im AS (SELECT file_id, callee AS local, min(seq) AS seq FROM cl WHERE seq % 3 <> 0 GROUP BY 1, 2) SELECT o.seq AS caller_id, 'lib.' || im.seq AS external_calls FROM o JOIN im ON im.file_id = o.file_id AND im.local = o.callee")
+def _(spark, d):
+    calls, funcs = _free(spark, d)
+    nothing = [spark.createDataFrame([], x) for x in (_TYPES, _NO_BINDINGS, _NO_ALIASES, _NO_RECEIVERS)]
+    calls = calls.withColumn("receiver", F.lit(None).cast("string"))
+    unresolved = resolve.call_edges(calls, resolve.resolve_calls(calls, funcs, *nothing), nothing[0], nothing[1])[2]
+    imports = calls.where("seq % 3 <> 0").select(F.col("caller_file_id").alias("file_id"), "seq", F.array(F.struct(F.col("callee").alias("local"), F.concat(F.lit("lib."), F.col("seq").cast("string")).alias("original"))).alias("symbols"))
+    return resolve.external_calls(unresolved, imports).select("caller_id", F.concat_ws(",", "external_calls").alias("external_calls"))
+
+
+@query("res25_type_by_import", "WITH ty AS (SELECT s_suppkey AS id, 'T' || s_suppkey AS name, 'd/f' || s_nationkey AS file_path FROM supplier), hr AS (SELECT c_custkey AS ref, 'x/' || c_custkey % 40 AS file_id, 'A' || c_custkey % 30 AS base FROM customer), bd AS (SELECT DISTINCT file_id, base, 'd/f' || (length(base) * 3) AS path, 'T' || substr(base, 2) AS original FROM hr) SELECT ref, ty.id AS target, 'exact' AS resolution, 1.0::DOUBLE AS confidence FROM hr JOIN bd USING (file_id, base) JOIN ty ON ty.file_path = bd.path AND ty.name = bd.original")
+def _(spark, d):
+    name = F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))
+    types = W.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("Class").alias("label"), name.alias("name"), name.alias("qualified"), F.concat(F.lit("d/f"), F.col("s_nationkey").cast("string")).alias("file_path"))
+    k = F.col("c_custkey")
+    file = F.concat(F.lit("x/"), (k % 40).cast("string"))
+    refs = W.table(spark, d, "customer").select(k.alias("ref"), (k + 10**9).alias("from_id"), file.alias("from_path"), file.alias("from_file_id"), F.concat(F.lit("A"), (k % 30).cast("string")).alias("base"))
+    bindings = refs.select(F.col("from_file_id").alias("file_id"), F.col("base").alias("local"), F.concat(F.lit("d/f"), (F.length("base") * 3).cast("string")).alias("path"), F.concat(F.lit("T"), F.expr("substring(base, 2)")).alias("original")).distinct()
+    return resolve.resolve_types(refs, types, bindings)
+
+
+@query("res33_heritage_gate", "WITH hr AS (SELECT c_custkey AS seq, 'f' || c_custkey % 50 AS f, 'B' || c_custkey % 20 AS base FROM customer), im AS (SELECT DISTINCT 'f' || s_suppkey % 50 AS f, 'B' || s_suppkey % 20 AS local FROM supplier WHERE s_suppkey % 4 < 2) SELECT seq FROM hr JOIN im ON im.f = hr.f AND im.local = hr.base")
+def _(spark, d):
+    n = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
+    heritage = W.table(spark, d, "customer").select(F.col("c_custkey").alias("seq"), n("f", "c_custkey", 50).alias("from_file_id"), n("B", "c_custkey", 20).alias("base"))
+    s = F.col("s_suppkey")
+    inside = F.when(s % 4 == 0, "libs/a/x.py").when(s % 4 == 1, "libs/b/y.py").when(s % 4 == 2, "libs/ab/z.py").otherwise("own/x.py")
+    imports = W.table(spark, d, "supplier").select(n("f", "s_suppkey", 50).alias("file_id"), F.array(F.struct(n("B", "s_suppkey", 20).alias("local"), F.lit("o").alias("original"))).alias("symbols"), F.array(F.lit("none.py"), inside).alias("candidates"))
+    children = spark.createDataFrame([("libs/a", "A"), ("libs/b", "B")], "prefix string, repo string")
+    return build.under_children(heritage, imports, children).select("seq")
+
+
 _CLASSES = "ks AS (SELECT s_suppkey AS id, 'K' || s_suppkey AS name, 'd/f' || s_nationkey AS file_path FROM supplier), mk AS (SELECT o_orderkey AS seq, o_custkey % 200 AS caller_id, 'K' || (o_orderkey % 60) AS class_name, 'v' || (o_orderkey % 97) AS bound_local FROM orders)"
 
 
@@ -149,23 +199,85 @@ def _(spark, d):
     return tree.source_slices(nodes, docs.select(F.col("doc_id").alias("path"), F.col("text").alias("source")), 20_000)
 
 
-def _target_ladder(spark, d, customers):
-    p = W.parts(spark, d)
-    name = F.lit(p.agg(F.min("name")).first()[0])
-    q = customers.select(F.col("c_custkey").alias("q"), (F.col("c_custkey") * 2).alias("wanted"), name.alias("name"))
-    by_id = q.join(p.select(F.col("id").alias("wanted"), "id"), "wanted").select("q", "id", F.lit(1).alias("rung"))
-    by_name = q.join(by_id, "q", "left_anti").join(p.select("name", "id"), "name").select("q", "id", F.lit(3).alias("rung"))
-    return by_id.unionByName(by_name).groupBy("q").agg(F.min("rung").alias("rung"), F.count(F.lit(1)).alias("candidates"), F.min("id").alias("id"))
+_NODES = "nd AS (SELECT p_partkey AS id, 'r' || p_partkey % 2 AS repo_id, p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_brand || '.' || p_name END AS qualified_name, p_type AS file_path, sha256(p_brand) AS content_hash, ['Function', 'Class', 'File', 'Variable'][p_partkey % 4 + 1] AS label FROM part)"
+_ASKED = "q AS (SELECT c_custkey AS q, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 END AS id, CASE WHEN c_custkey % 3 <> 2 THEN p_type END AS path, CASE WHEN c_custkey % 4 = 0 THEN p_brand || '.' || p_name ELSE p_name END AS name, sha256(p_brand) AS content_hash FROM customer JOIN part ON p_partkey = 1 + c_custkey % (SELECT count(*) FROM part))"
+_PATHED = "(SELECT q, nd.id FROM q JOIN nd ON nd.file_path = q.path AND (nd.name = q.name OR nd.qualified_name = q.name) WHERE label IN ('Function', 'Class'))"
+
+
+def _lookups(spark, d):
+    p, k = W.table(spark, d, "part"), F.col("p_partkey")
+    label = F.get(F.array(*map(F.lit, ("Function", "Class", "File", "Variable"))), (k % 4).cast("int"))
+    dotted = F.concat_ws(".", "p_brand", "p_name")
+    nodes = p.select(k.alias("id"), F.concat(F.lit("r"), (k % 2).cast("string")).alias("repo_id"), F.col("p_name").alias("name"), F.when(k % 3 != 0, dotted).alias("qualified_name"), F.col("p_type").alias("file_path"), F.lit(None).cast("string").alias("path"), F.sha2("p_brand", 256).alias("content_hash"), F.array(F.lit("Rs"), label).alias("labels"), F.col("p_size").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("semantic_summary"), F.lit(None).cast("string").alias("summary_of_hash"))
+    c, n = F.col("c_custkey"), p.count()
+    wanted = W.table(spark, d, "customer").withColumn("p_partkey", 1 + c % n).join(p, "p_partkey").select(c.alias("q"), F.when(c % 3 == 0, c * 2).alias("id"), F.when(c % 3 != 2, F.col("p_type")).alias("path"), F.when(c % 4 == 0, dotted).otherwise(F.col("p_name")).alias("name"), F.sha2("p_brand", 256).alias("content_hash"))
+    return nodes, wanted
+
+
+@query("flt02_path_and_name", f"WITH {_NODES}, {_ASKED} SELECT DISTINCT q, id FROM {_PATHED}")
+def _(spark, d):
+    return stores.by_path_and_name(*_lookups(spark, d)).select("q", "id")
+
+
+@query("flt03_by_name", f"WITH {_NODES}, {_ASKED} SELECT q, nd.id FROM q JOIN nd USING (name)")
+def _(spark, d):
+    return stores.by_name(*_lookups(spark, d)).select("q", "id")
+
+
+@query("flt04_content_hash", f"WITH {_NODES}, {_ASKED} SELECT q, nd.id FROM q JOIN nd USING (content_hash)")
+def _(spark, d):
+    return stores.by_content_hash(*_lookups(spark, d)).select("q", "id")
+
+
+@query("flt05_target_ladder", f"WITH {_NODES}, {_ASKED}, a AS (SELECT q, nd.id FROM q JOIN nd ON nd.id = q.id), b AS (SELECT DISTINCT q, id FROM {_PATHED} ANTI JOIN a USING (q)), c AS (SELECT q.q, nd.id FROM (SELECT q.* FROM q ANTI JOIN a USING (q)) q JOIN nd ON nd.name = q.name WHERE q.path IS NULL), u AS (SELECT q, id, 1 AS rung FROM a UNION ALL SELECT q, id, 2 FROM b UNION ALL SELECT q, id, 3 FROM c) SELECT q, min(rung) AS rung, count(*) AS candidates, min(id) AS id FROM u GROUP BY 1")
+def _(spark, d):
+    return stores.target_ladder(*_lookups(spark, d))
+
+
+@query("flt07_target_rows", f"WITH {_NODES} SELECT id, repo_id, name, coalesce(qualified_name, name) AS qualified_name, file_path, label AS labels FROM nd")
+def _(spark, d):
+    return stores.target_rows(_lookups(spark, d)[0]).select("id", "repo_id", "name", "qualified_name", "file_path", F.concat_ws(",", "labels").alias("labels"))
+
+
+@query("flt07_neighbor_rows", f"WITH {W.TYPED}, {_NODES} SELECT src, te.dst AS id, coalesce(qualified_name, name) AS name, resolution, confidence, CASE WHEN src % 2 <> dst % 2 THEN true END AS cross_repo FROM te JOIN nd ON nd.id = dst")
+def _(spark, d):
+    e = W.typed_edges(spark, d).select("src", F.col("dst").alias("id"), "resolution", "confidence", (F.col("src") % 2 != F.col("dst") % 2).alias("cross_repo"))
+    return stores.neighbor_rows(_lookups(spark, d)[0], e).select("src", "id", "name", "resolution", "confidence", "cross_repo")
+
+
+@query("src13_purge_federation", "SELECT c_custkey AS id, c_nationkey AS repo_id FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))")
+def _(spark, d):
+    gone = W.table(spark, d, "nation").where("n_regionkey in (1, 3)").select(F.col("n_nationkey").alias("repo_id"))
+    return stores.purged(W.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("repo_id")), gone).select("id", "repo_id")
+
+
+# a module for every brand; a part is a function of it that calls another by name; every fifth is a class's method
+_BUILD = """pt AS (SELECT p_partkey AS k, 'pkg/' || lower(replace(p_brand, '#', '')) || '.py' AS path FROM part), n AS (SELECT count(*) AS n FROM part),
+cl AS (SELECT a.k, a.path, b.k AS callee, b.path AS to_path FROM pt a CROSS JOIN n JOIN pt b ON b.k = (a.k * 7) % n)"""
+
+
+def _sources(spark, d):
+    p = W.table(spark, d, "part")
+    n = p.count()
+    path = F.concat(F.lit("pkg/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".py"))
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("def f"), k.cast("string"), F.lit("(x):\n    f"), ((k * 7) % n).cast("string"), F.lit("(x)\n    return x\n\n"))
+    return p.groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), body.alias("b")))), lambda x: x["b"]), "").alias("source"))
+
+
+@query("bld01_call_edges", f"WITH {_BUILD} SELECT 'rs1:r:func:' || path || '#f' || k || '@1' AS src, 'rs1:r:func:' || to_path || '#f' || callee || '@1' AS dst, CASE WHEN path = to_path THEN 'exact' ELSE 'name_match' END AS resolution, CASE WHEN path = to_path THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence, 1::BIGINT AS call_sites FROM cl")
+def _(spark, d):
+    return build.build(_sources(spark, d), "r").edges.where("type = 'CALLS'").select("src", "dst", "resolution", "confidence", "call_sites")
 
 
-@query("flt05_target_ladder", f"WITH {W.PARTS}, q AS (SELECT c_custkey AS q, c_custkey * 2 AS id, 'x' AS path, (SELECT min(name) FROM parts) AS name FROM customer WHERE c_custkey % 50 = 0), a AS (SELECT q, parts.id FROM q JOIN parts ON parts.id = q.id), b AS (SELECT q, parts.id FROM q JOIN parts ON parts.name = q.name WHERE q NOT IN (SELECT q FROM a)), u AS (SELECT q, id, 1 AS rung FROM a UNION ALL SELECT q, id, 3 FROM b) SELECT q, min(rung) AS rung, count(*) AS candidates, min(id) AS id FROM u GROUP BY 1")
+@query("bld01_nodes", f"WITH {_BUILD} SELECT 'rs1:r:func:' || path || '#f' || k || '@1' AS id, 'f' || k AS name, path, 'Function' AS label FROM pt UNION ALL SELECT DISTINCT 'rs1:r:file:' || path, split_part(path, '/', 2), path, 'File' FROM pt UNION ALL SELECT 'rs1:r:dir:pkg', 'pkg', 'pkg', 'Directory' UNION ALL SELECT 'rs1:r:dir:.', '.', '.', 'Directory'")
 def _(spark, d):
-    return _target_ladder(spark, d, W.table(spark, d, "customer").where("c_custkey % 50 = 0"))
+    return build.build(_sources(spark, d), "r").nodes.select("id", "name", F.coalesce("file_path", "path").alias("path"), F.col("labels")[0].alias("label"))
 
 
-@query("flt05_target_ladder_whole")
+@query("agg19_build_stats", f"WITH {_BUILD}, f AS (SELECT count(DISTINCT path) AS f, count(*) AS n FROM pt) SELECT f AS files, f + n + 2 AS nodes, (f + 1) + n + n AS edges, 0::BIGINT AS warnings FROM f")
 def _(spark, d):
-    return _target_ladder(spark, d, W.table(spark, d, "customer"))
+    return build.build(_sources(spark, d), "r").stats()
 
 
 @query("flt11_lens", f"WITH {W.TYPED}, l(lens, type) AS (VALUES ('calls', 'CALLS'), ('types', 'INHERITS'), ('types', 'IMPLEMENTS'), ('modules', 'IMPORTS')) SELECT lens, count(*) AS n, sum(call_sites)::BIGINT AS sites FROM te JOIN l USING (type) GROUP BY 1")

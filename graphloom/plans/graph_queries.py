@@ -82,33 +82,20 @@ def _(spark, d):
     return traverse.callees(e, W.smallest_target(e)).select("src", "dst", "call_sites")
 
 
-@query("trv03_callees_2hop", f"WITH {W.EDGES} SELECT a.src AS source, b.dst AS id, count(DISTINCT a.dst) AS via FROM ed a JOIN ed b ON a.dst = b.src WHERE a.src IN (SELECT dst FROM ed ORDER BY dst LIMIT 50) GROUP BY 1, 2")
-def _(spark, d):
-    e = W.edges(spark, d)
-    seeds = e.select(F.col("dst").alias("id")).orderBy("id").limit(50).distinct()
-    return traverse.callees_at_two(e, seeds)
-
-
-@query("trv03_callees_2hop_whole")
+@query("trv03_callees_2hop", f"WITH {W.EDGES} SELECT a.src AS source, b.dst AS id, count(DISTINCT a.dst) AS via FROM ed a JOIN ed b ON a.dst = b.src GROUP BY 1, 2")
 def _(spark, d):
     e = W.edges(spark, d)
     return traverse.callees_at_two(e, e.select(F.col("src").alias("id")).distinct())
 
 
-@query("trv04_profile", f"""WITH {W.EDGES}, s AS (SELECT DISTINCT dst AS target FROM ed WHERE dst % 10 = 0),
+@query("trv04_profile", f"""WITH {W.EDGES}, s AS (SELECT dst AS target FROM ed UNION SELECT src FROM ed),
 u AS (SELECT target, src AS id, row_number() OVER (PARTITION BY target ORDER BY src) AS r FROM ed JOIN s ON dst = target),
 w AS (SELECT target, dst AS id, row_number() OVER (PARTITION BY target ORDER BY dst) AS r FROM ed JOIN s ON src = target),
 t0 AS (SELECT DISTINCT w.target, ed.dst AS id FROM w JOIN ed ON w.id = ed.src),
 t1 AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS r FROM t0),
-t AS (SELECT * FROM t1 WHERE r <= 26 AND id <> target AND (target, id) NOT IN (SELECT (target, id) FROM w)),
+t AS (SELECT t1.* FROM t1 ANTI JOIN w USING (target, id) WHERE t1.r <= 26 AND id <> target),
 x AS (SELECT 'up' AS side, 1 AS distance, * FROM u UNION ALL SELECT 'down', 1, * FROM w UNION ALL SELECT 'down', 2, * FROM t),
 y AS (SELECT *, max(r) OVER (PARTITION BY side, distance, target) > 25 AS truncated FROM x) SELECT target, side, distance, id, truncated FROM y WHERE r <= 25""")
-def _(spark, d):
-    e = W.edges(spark, d)
-    return traverse.profile(e, e.where("dst % 10 = 0").select(F.col("dst").alias("id")).distinct())
-
-
-@query("trv04_profile_whole")
 def _(spark, d):
     e = W.edges(spark, d)
     return traverse.profile(e, e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
@@ -153,12 +140,7 @@ def _(spark, d):
     return traverse.neighborhood(e, W.smallest_target(e), 2, ["CALLS", "IMPORTS"])
 
 
-@query("trv08_neighbors", f"WITH {W.EDGES} SELECT DISTINCT a AS id, b AS neighbor FROM (SELECT src AS a, dst AS b FROM ed UNION ALL SELECT dst, src FROM ed) WHERE a <> b AND a % 20 = 0")
-def _(spark, d):
-    return traverse.both_ways(W.edges(spark, d)).where("a % 20 = 0").select(F.col("a").alias("id"), F.col("b").alias("neighbor")).distinct()
-
-
-@query("trv08_neighbors_whole")
+@query("trv08_neighbors", f"WITH {W.EDGES} SELECT DISTINCT a AS id, b AS neighbor FROM (SELECT src AS a, dst AS b FROM ed UNION ALL SELECT dst, src FROM ed) WHERE a <> b")
 def _(spark, d):
     return traverse.both_ways(W.edges(spark, d)).select(F.col("a").alias("id"), F.col("b").alias("neighbor")).distinct()
 
@@ -185,16 +167,20 @@ def _(spark, d):
     return traverse.ring_step(_ring(spark, d))
 
 
-@query("trv11_prose", f"WITH {W.EDGES} SELECT src AS id, 'calls ' || string_agg(dst::VARCHAR, ', ' ORDER BY dst) AS text FROM ed WHERE src % 10 = 0 GROUP BY 1")
-def _(spark, d):
-    rows = W.edges(spark, d).where("src % 10 = 0").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("ids"))
-    return rows.select(F.col("src").alias("id"), F.concat(F.lit("calls "), F.concat_ws(", ", F.col("ids").cast("array<string>"))).alias("text"))
+_DASH = "\u2014"
 
 
-@query("trv11_prose_whole")
+@query("trv11_prose", f"""WITH {W.TYPED}, n AS (SELECT p_partkey AS id, 'r' || p_partkey % 2 AS repo, p_name AS name, p_brand AS path, p_size AS line, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS summary FROM part),
+w AS (SELECT t.id AS target, side, far, n.name || CASE WHEN n.summary IS NULL THEN ' (no summary yet {_DASH} read and enrich)' ELSE ' (' || n.summary || ')' END || CASE WHEN n.repo <> t.repo THEN ' [repo: ' || n.repo || ']' ELSE '' END || CASE WHEN side = 'down' AND resolution <> 'exact' THEN ' [' || resolution || ', confidence ' || confidence || ' {_DASH} verify]' ELSE '' END AS x
+FROM (SELECT dst AS target, 'up' AS side, src AS far, resolution, confidence FROM te UNION ALL SELECT src, 'down', dst, resolution, confidence FROM te) JOIN n t ON t.id = target JOIN n ON n.id = far),
+g AS (SELECT target, string_agg(x, ', ' ORDER BY far) FILTER (side = 'up') AS up, string_agg(x, '; ' ORDER BY far) FILTER (side = 'down') AS down FROM w GROUP BY 1)
+SELECT id, n.name || ' (' || path || ':' || line || '-' || (line + 9) || ')' || CASE WHEN summary IS NULL THEN ' {_DASH} no summary yet (read and enrich).' ELSE ': ' || summary || '.' END || coalesce(' Called by ' || up || '.', '') || coalesce(' Calls ' || down || '.', '') AS text FROM n LEFT JOIN g ON target = id""")
 def _(spark, d):
-    rows = W.edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("ids"))
-    return rows.select(F.col("src").alias("id"), F.concat(F.lit("calls "), F.concat_ws(", ", F.col("ids").cast("array<string>"))).alias("text"))
+    k = F.col("p_partkey")
+    n = W.table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("r"), (k % 2).cast("string")).alias("repo_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 9).alias("end_line"), F.when(k % 3 == 0, F.col("p_type")).alias("summary"))
+    e = W.typed_edges(spark, d).select("src", "dst", "resolution", "confidence")
+    ends = e.select(F.col("dst").alias("target"), F.lit("up").alias("side"), F.col("src").alias("id"), "resolution", "confidence").union(e.select("src", F.lit("down"), "dst", "resolution", "confidence"))
+    return traverse.prose(n, ends.join(n.select("id", "repo_id", "name", "summary"), "id"))
 
 
 @query("agg01_degree", f"WITH {W.EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1")
@@ -295,16 +281,47 @@ def _(spark, d):
     return p.select("id", (F.floor(rollup.attenuation(F.col("x"), F.lit(diagonal)) * 1e6 + 0.5) / 1e6).alias("weight"))
 
 
-@query("rnk11_tour", f"""WITH {W.EDGES}, c AS (SELECT p_partkey AS id, string_split(replace(p_type, ' ', '/') || '/' || p_brand, '/') AS p FROM part),
-a AS (SELECT array_to_string(p[1:n], '/') AS k FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM c)),
+@query("rnk11_tour", f"""WITH {W.TYPED}, k AS (SELECT p_partkey AS id, ['Function', 'Class', 'Interface', 'Variable'][p_partkey % 4 + 1] AS kind, string_split(replace(p_type, ' ', '/') || '/' || p_brand, '/') AS p FROM part),
+a AS (SELECT array_to_string(p[1:n], '/') AS k FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM k)),
 m AS (SELECT 'module' AS stop, k AS key, count(*) AS score FROM a GROUP BY k ORDER BY score DESC, k LIMIT 3),
-g AS (SELECT id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ed UNION ALL SELECT dst, 1, 0 FROM ed) GROUP BY 1)
-SELECT * FROM m UNION ALL (SELECT 'hub', id::VARCHAR, i + o FROM g ORDER BY i + o DESC, id LIMIT 1) UNION ALL (SELECT 'entry', id::VARCHAR, o FROM g WHERE i = 0 ORDER BY o DESC, id LIMIT 1)""")
-def _(spark, d):
-    p = W.parts(spark, d).select("id", F.split("file_path", "/").alias("p"))
+g AS (SELECT id, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM te UNION ALL SELECT dst, 1, 0 FROM te) GROUP BY 1),
+h AS (SELECT 'hub' AS stop, id, i + o AS score FROM g ORDER BY i + o DESC, id LIMIT 1),
+t AS (SELECT 'type' AS stop, id, count(*) AS score FROM (SELECT src AS id FROM te WHERE type IN ('INHERITS', 'IMPLEMENTS') UNION ALL SELECT dst FROM te WHERE type IN ('INHERITS', 'IMPLEMENTS')) JOIN k USING (id) WHERE kind IN ('Class', 'Interface') GROUP BY id ORDER BY 3 DESC, id LIMIT 1),
+e AS (SELECT 'entry' AS stop, id, o FROM g JOIN k USING (id) WHERE kind = 'Function' AND o > 0 AND id NOT IN (SELECT id FROM h) ORDER BY o DESC, id LIMIT 1)
+SELECT * FROM m UNION ALL SELECT stop, id::VARCHAR, score FROM h UNION ALL SELECT stop, id::VARCHAR, score FROM t UNION ALL SELECT stop, id::VARCHAR, o FROM e""")
+def _(spark, d):
+    kind = F.get(F.array(*map(F.lit, ("Function", "Class", "Interface", "Variable"))), (F.col("id") % 4).cast("int"))
+    p = W.parts(spark, d).select("id", kind.alias("kind"), F.split("file_path", "/").alias("p"))
     chain = F.concat(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.concat_ws("/", F.slice("p", 1, n))), F.array(F.col("id").cast("string")))
-    under = rollup.tour(p.withColumn("id", F.col("id").cast("string")), W.edges(spark, d), chain)
-    return under
+    return rollup.tour(p.withColumn("id", F.col("id").cast("string")), W.typed_edges(spark, d), chain)
+
+
+@query("agg11_lod", "WITH r AS (SELECT p_partkey AS id, p_partkey % 3 <> 0 AS s, p_brand AS f, CASE WHEN p_partkey % 3 <> 0 THEN 's' || p_partkey ELSE p_type END AS rep FROM part) SELECT id, CASE WHEN s AND f LIKE '%1' AND f NOT LIKE 'Brand#2%' THEN f ELSE rep END AS rep FROM r")
+def _(spark, d):
+    k = F.col("p_partkey")
+    reps = W.table(spark, d, "part").select(k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("s"), k.cast("string"))).otherwise(F.col("p_type")).alias("rep"), (k % 3 != 0).alias("is_symbol"), F.col("p_brand").alias("file"))
+    files = reps.select("file").distinct()
+    return rollup.lod_representatives(reps, files.where("file like '%1'").select(F.col("file").alias("key")), files.where("file like 'Brand#2%'"))
+
+
+@query("geo05_allocation", f"WITH {W.EDGES}, o AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS place, call_sites AS c FROM ed), p AS (SELECT place, least(4, floor(log2(1 + c) + 1e-9)::INT + 1) AS w FROM o WHERE c >= 2), q AS (SELECT place, w, sum(w) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS u FROM p), a AS (SELECT place, greatest(0, least(w, 3000 - u + w))::INT AS particles FROM q), n AS (SELECT place, row_number() OVER (ORDER BY place) - 1 AS k, count(*) OVER () AS m FROM o WHERE c < 2), l AS (SELECT 3000 - coalesce(sum(particles), 0) AS l FROM a) SELECT place, particles FROM a WHERE particles > 0 UNION ALL SELECT place, 1 FROM n, l WHERE l > 0 AND k % (CASE WHEN m > l THEN ceil(m::DOUBLE / l)::BIGINT ELSE 1 END) = 0")
+def _(spark, d):
+    e = W.edges(spark, d).orderBy("src", "dst")
+    ordered = traverse.cut_lineage(e.withColumn("at", F.monotonically_increasing_id()))
+    # places without gaps: how many rows each part holds, then the place within it
+    starts, before = [], 0
+    for r in sorted(ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r.part, before))
+        before += r.n
+    known = spark.createDataFrame(starts, "part long, start long")
+    placed = ordered.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(known), "part").select((F.col("start") + F.expr("at & 8589934591")).alias("place"), F.col("call_sites").alias("count"), (F.col("call_sites") >= 2).alias("priority"))
+    return geometry.allocate_particles(placed).select("place", F.col("particles").cast("int").alias("particles"))
+
+
+@query("geo06_minimap", "WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, (p_partkey % 97)::DOUBLE AS y FROM part), b AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p), s AS (SELECT *, least(188 / greatest(b - a, 1e-6), 88 / greatest(d - c, 1e-6)) AS s FROM b) SELECT id, floor((x * s + (100 - (a + b) / 2 * s)) * 1e6 + 0.5) / 1e6 AS px, floor((100 - (y * s + (50 - (c + d) / 2 * s))) * 1e6 + 0.5) / 1e6 AS py FROM p, s")
+def _(spark, d):
+    p = W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+    return geometry.to_minimap(p, 200, 100).select("id", *((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("px", "py")))
 
 
 @query("flt10_filter_edges", f"WITH {W.TYPED} SELECT src, dst, type, resolution FROM te WHERE confidence >= 0.04 AND type NOT IN ('IMPORTS')")
@@ -317,9 +334,15 @@ def _(spark, d):
     return rollup.filter_edges(W.typed_edges(spark, d), ["IMPORTS"], 0.9, audit=True).select("src", "dst", "type", "resolution")
 
 
-@query("flt12_bucketed", f"WITH {W.TYPED} SELECT resolution, type, count(*) AS n, sum(call_sites)::BIGINT AS sites FROM te GROUP BY 1, 2")
+@query("flt12_bucketed", f"WITH {W.TYPED}, i AS (SELECT *, 'rs1:r' || src % 3 || ':func:' || src AS a, CASE WHEN dst % 7 = 0 THEN 'x:' ELSE 'rs1:r' || dst % 3 || ':func:' END || dst AS b, CASE WHEN src % 2 = 0 THEN resolution END AS r FROM te) SELECT a AS src, b AS dst, type, coalesce(r, CASE WHEN confidence >= 0.95 THEN 'exact' WHEN confidence >= 0.5 THEN 'name_match' ELSE 'ambiguous' END) AS bucket, starts_with(b, 'rs1:') AND src % 3 <> dst % 3 AS cross_repo FROM i WHERE type <> 'IMPORTS'")
 def _(spark, d):
-    return W.typed_edges(spark, d).groupBy("resolution", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("call_sites").alias("sites"))
+    from ..functions.paths import bucket_confidence, crosses_repositories
+
+    text = lambda c: F.col(c).cast("string")
+    a = F.concat(F.lit("rs1:r"), (F.col("src") % 3).cast("string"), F.lit(":func:"), text("src"))
+    b = F.concat(F.when(F.col("dst") % 7 == 0, "x:").otherwise(F.concat(F.lit("rs1:r"), (F.col("dst") % 3).cast("string"), F.lit(":func:"))), text("dst"))
+    e = rollup.filter_edges(W.typed_edges(spark, d), ["IMPORTS"], 0.0)
+    return e.select(a.alias("src"), b.alias("dst"), "type", bucket_confidence(F.when(F.col("src") % 2 == 0, F.col("resolution")), F.col("confidence")).alias("bucket"), crosses_repositories(a, b).alias("cross_repo"))
 
 
 @query("geo03_bundle_path", """WITH c AS (SELECT p_partkey AS id, string_split(p_type, ' ') AS p FROM part), k AS (SELECT id, list_transform(range(1, len(p) + 1), lambda n: array_to_string(p[1:n], '/')) AS c FROM c),

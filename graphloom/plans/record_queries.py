@@ -107,6 +107,20 @@ def _(spark, d):
     return W.table(spark, d, "events").select("event_id", F.coalesce(merge.has_summary(line), F.lit(False)).alias("has"))
 
 
+@query("set12_absorbed", "WITH l AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '<<<<<<< HEAD' WHEN 1 THEN '{bad' WHEN 2 THEN '{\"x\":1}' ELSE '{\"id\":\"' || user_id || '\"}' END AS line, event_id % 6 AS m FROM events) SELECT CASE WHEN m = 0 THEN 'conflict' WHEN m IN (1, 2) THEN 'malformed' ELSE 'kept' END AS what, count(*) AS n FROM l GROUP BY 1")
+def _(spark, d):
+    n = F.col("event_id") % 6
+    line = F.when(n == 0, "<<<<<<< HEAD").when(n == 1, "{bad").when(n == 2, '{"x":1}').otherwise(F.concat(F.lit('{"id":"'), F.col("user_id").cast("string"), F.lit('"}')))
+    kept, warned = merge.absorb(W.table(spark, d, "events").select(line.alias("line")))
+    return warned.unionByName(kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("what"), "n"))
+
+
+@query("set13_conflict_lines", "WITH e AS (SELECT props AS line FROM events WHERE event_id % 3 = 0), l AS (SELECT props AS line FROM events WHERE event_id % 3 = 1) SELECT DISTINCT line FROM (SELECT * FROM e UNION ALL SELECT * FROM l)")
+def _(spark, d):
+    e = W.table(spark, d, "events")
+    return merge.conflict_log(e.where("event_id % 3 = 0").select(F.col("props").alias("line")), e.where("event_id % 3 = 1").select(F.col("props").alias("line")))
+
+
 @query("set12_conflict_lines", "WITH l AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '<<<<<<< HEAD' WHEN 1 THEN '=======' WHEN 2 THEN '>>>>>>> b' WHEN 3 THEN '||||||| base' WHEN 4 THEN '<<<<<<<<' ELSE props END AS line FROM events) SELECT event_id % 6 < 4 AS marker, count(*) AS n FROM l GROUP BY 1")
 def _(spark, d):
     n = F.col("event_id") % 6
@@ -181,10 +195,10 @@ def _facts(spark, d):
 _LADDER = f"""WITH {_FACTS}, d AS (SELECT *, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM fn), n AS (SELECT name, count(*) AS n FROM fn GROUP BY 1),
 c AS (SELECT *, regexp_extract(caller_path, '^(.*)/[^/]*$', 1) AS dir FROM cl),
 r2 AS (SELECT seq, caller_id, d.id AS target, 'exact' AS resolution, 1.0::DOUBLE AS confidence FROM c JOIN d ON d.file_path = caller_path AND d.name = callee AND NOT contains(qualified, '.') WHERE receiver IS NULL),
-c3 AS (SELECT * FROM c WHERE receiver IS NULL AND seq NOT IN (SELECT seq FROM r2)),
+c3 AS (SELECT c.* FROM c ANTI JOIN r2 USING (seq) WHERE receiver IS NULL),
 l AS (SELECT seq, caller_id, d.id AS target, count(*) OVER (PARTITION BY seq) AS k FROM c3 JOIN n ON n.name = callee AND n > 1 JOIN d ON d.name = callee AND d.dir = c3.dir WHERE c3.dir <> ''),
 r3 AS (SELECT seq, caller_id, target, CASE WHEN k = 1 THEN 'name_match' ELSE 'ambiguous' END AS resolution, CASE WHEN k = 1 THEN 0.8::DOUBLE ELSE floor(0.8::DOUBLE / k * 100 + 0.5) / 100 END AS confidence FROM l),
-r4 AS (SELECT seq, caller_id, d.id AS target, CASE WHEN n = 1 THEN 'name_match' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN 0.7::DOUBLE ELSE floor(1.0::DOUBLE / n * 100 + 0.5) / 100 END AS confidence FROM c3 JOIN n ON n.name = callee JOIN d ON d.name = callee WHERE seq NOT IN (SELECT seq FROM r3)),
+r4 AS (SELECT seq, caller_id, d.id AS target, CASE WHEN n = 1 THEN 'name_match' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN 0.7::DOUBLE ELSE floor(1.0::DOUBLE / n * 100 + 0.5) / 100 END AS confidence FROM (SELECT c3.* FROM c3 ANTI JOIN r3 USING (seq)) c3 JOIN n ON n.name = callee JOIN d ON d.name = callee),
 r6 AS (SELECT seq, caller_id, d.id AS target, CASE WHEN n = 1 THEN 'name_match' ELSE 'ambiguous' END AS resolution, CASE WHEN n = 1 THEN 0.5::DOUBLE ELSE floor(1.0::DOUBLE / n * 100 + 0.5) / 100 END AS confidence FROM c JOIN n ON n.name = callee JOIN d ON d.name = callee WHERE receiver IS NOT NULL),
 rs AS (SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r6)"""
 
@@ -223,6 +237,21 @@ def _(spark, d):
     return resolve.resolve_types(rows.select(F.col("seq").alias("ref"), "from_id", "from_path", "from_file_id", "base"), types, bindings)
 
 
+@query("res23_scoped_types", "WITH ty AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'K' || (p_partkey % 8) ELSE 'N' || (p_partkey % 5) END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'K' || (p_partkey % 8) ELSE 'K' || (p_partkey % 6) || '.N' || (p_partkey % 5) END AS qualified, p_brand AS file_path FROM part), rf AS (SELECT id AS ref, id AS from_id, qualified AS scope, file_path, 'N' || (id % 5) AS base FROM ty), o AS (SELECT file_path, qualified, max(id) AS id FROM ty GROUP BY 1, 2), c AS (SELECT ref, o.id AS target, 2 AS depth FROM rf JOIN o ON o.file_path = rf.file_path AND contains(scope, '.') AND o.qualified = split_part(scope, '.', 1) || '.' || base UNION ALL SELECT ref, o.id, 1 FROM rf JOIN o ON o.file_path = rf.file_path AND o.qualified = base) SELECT ref, arg_max(target, depth) AS target FROM c GROUP BY 1")
+def _(spark, d):
+    k = F.col("p_partkey")
+    n = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
+    types = W.table(spark, d, "part").select(k.alias("id"), F.lit("Class").alias("label"), F.when(k % 3 == 0, n("K", 8)).otherwise(n("N", 5)).alias("name"), F.when(k % 3 == 0, n("K", 8)).otherwise(F.concat(n("K", 6), F.lit("."), n("N", 5))).alias("qualified"), F.col("p_brand").alias("file_path"))
+    refs = types.select(F.col("id").alias("ref"), F.col("id").alias("from_id"), F.col("file_path").alias("from_path"), F.col("file_path").alias("from_file_id"), F.concat(F.lit("N"), (F.col("id") % 5).cast("string")).alias("base"))
+    out = resolve.resolve_types(refs, types, spark.createDataFrame([], "file_id string, local string, path string, original string"))
+    # rung 1a alone: the references whose scopes hold the base
+    scopes = types.select("file_path", "qualified")
+    parts = F.split("qualified", r"\.")
+    tried = refs.join(types.select(F.col("id").alias("from_id"), "qualified"), "from_id").select("ref", "from_path", F.explode(F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.concat_ws(".", F.slice(parts, F.lit(1), i), F.col("base")))).alias("wanted"))
+    scoped = tried.join(scopes, (F.col("from_path") == F.col("file_path")) & (F.col("wanted") == F.col("qualified")), "left_semi").select("ref").distinct()
+    return out.join(scoped, "ref", "left_semi").select("ref", "target")
+
+
 @query("res28_heritage", f"WITH {_TYPES} SELECT from_id + 1000000 AS src, CASE WHEN seq % 5 = 0 THEN CASE label WHEN 'Interface' THEN 'IMPLEMENTS' ELSE 'INHERITS' END WHEN seq % 2 = 0 THEN 'INHERITS' ELSE 'IMPLEMENTS' END AS type, target AS dst, resolution, confidence FROM tr JOIN ty ON ty.id = target")
 def _(spark, d):
     return resolve.heritage_edges(*_type_facts(spark, d))[0]
@@ -372,6 +401,46 @@ def _(spark, d):
     return decisions.listed(_decisions(spark, d)[0], "accepted").select("id", "status", "decided_at")
 
 
+@query("dec08_search", f"WITH {_DEC}, t AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'Use COPPER' ELSE 'plain' END AS title, CASE WHEN k % 4 = 0 THEN 'because copper lasts' END AS context, CASE WHEN k % 5 = 0 THEN 'Copper it is' ELSE 'tin' END AS decision FROM dc WHERE id IN (SELECT decision FROM an)) SELECT id, decided_at FROM t WHERE k % 3 = 0 OR k % 4 = 0 OR k % 5 = 0 ORDER BY decided_at DESC, id LIMIT 50")
+def _(spark, d):
+    k = F.col("k")
+    decs = _decisions(spark, d)[0].withColumns({"title": F.when(k % 3 == 0, "Use COPPER").otherwise("plain"), "context": F.when(k % 4 == 0, "because copper lasts"), "decision": F.when(k % 5 == 0, "Copper it is").otherwise("tin")})
+    return decisions.listed(decs, text="copPER").select("id", "decided_at")
+
+
+@query("dec08_anchored", f"WITH {_DEC}, q AS (SELECT 'adr:' || k AS id FROM (SELECT min(k) AS k FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 <> 0))), o AS (SELECT regexp_extract(node_id, '^rs1:[^:]+(:.+)$', 1) AS sx FROM an WHERE decision = (SELECT id FROM q) ORDER BY node_id LIMIT 1) SELECT DISTINCT dc.id, decided_at FROM dc JOIN an ON an.decision = dc.id WHERE regexp_extract(node_id, '^rs1:[^:]+(:.+)$', 1) = (SELECT sx FROM o)")
+def _(spark, d):
+    decs = _decisions(spark, d)[0]
+    first = decs.where("k % 7 <> 0").orderBy("k").select(F.array_min(F.transform("anchors", lambda a: a["node_id"])).alias("n")).first()["n"]
+    return decisions.listed(decs, anchor=first.replace("rs1:r", "rs1:other")).select("id", "decided_at")
+
+
+@query("dec09_chain", "WITH RECURSIVE dc AS (SELECT s_suppkey AS id, [s_suppkey * 2, s_suppkey + 1] AS s, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 7 END AS sb FROM supplier), l AS (SELECT unnest(s) AS id, id AS b FROM dc), m AS (SELECT id, min(b) AS b FROM l GROUP BY 1), e AS (SELECT dc.id, coalesce(sb, b) AS newer FROM dc LEFT JOIN m ON m.id = dc.id WHERE coalesce(sb, b) IS NOT NULL AND coalesce(sb, b) <> dc.id), r(id, newer) AS (SELECT id, newer FROM e UNION SELECT r.id, e.newer FROM r JOIN e ON e.id = r.newer WHERE r.id <> e.newer) SELECT id, newer FROM r")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    decs = W.table(spark, d, "supplier").select(k.alias("id"), F.array(k * 2, k + 1).alias("supersedes"), F.when(k % 10 == 0, k + 7).alias("superseded_by"))
+    return decisions.supersession_chain(decs).select("id", "newer")
+
+
+@query("dec10_record", "WITH dc AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'accepted' ELSE 'proposed' END AS status FROM supplier), nw AS (SELECT 100000 + s_suppkey AS id, s_suppkey * 3 AS old FROM supplier WHERE s_suppkey % 5 = 0), b AS (SELECT old, min(id) AS b FROM nw GROUP BY 1) SELECT dc.id, CASE WHEN b IS NULL THEN status ELSE 'superseded' END AS status, b AS superseded_by FROM dc LEFT JOIN b ON old = dc.id UNION ALL SELECT id, 'accepted', NULL FROM nw")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    node = lambda n: F.struct(F.concat(F.lit("rs1:r:func:"), n.cast("string")).alias("node_id"))
+    s = W.table(spark, d, "supplier")
+    old = s.select(k.alias("id"), F.when(k % 2 == 0, "accepted").otherwise("proposed").alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.array().cast("array<bigint>").alias("supersedes"), F.array(node(k)).alias("anchors"))
+    new = s.where("s_suppkey % 5 = 0").select((100_000 + k).alias("id"), F.lit("accepted").alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.array(k * 3).alias("supersedes"), F.array(node(k)).alias("anchors"))
+    return decisions.record(old, new, old.select(F.col("anchors")[0]["node_id"].alias("id"), F.lit("modified").alias("change")))[0].select("id", "status", "superseded_by")
+
+
+@query("dec10_pending", "SELECT 'rs1:q:func:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 5 <> 0")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    node = lambda repo: F.concat(F.lit(f"rs1:{repo}:func:"), k.cast("string"))
+    s = W.table(spark, d, "supplier")
+    shape = s.select(k.alias("id"), F.lit("accepted").alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.array().cast("array<bigint>").alias("supersedes"), F.array(F.struct(node("r").alias("node_id"))).alias("anchors"))
+    return decisions.record(shape.limit(0), shape.where("id % 5 = 0"), s.select(node("q").alias("id"), F.lit("modified").alias("change")))[1].select("id")
+
+
 @query("dec09_supersession", "WITH dc AS (SELECT s_suppkey AS id, [s_suppkey * 2, s_suppkey + 1] AS s, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 7 END AS sb FROM supplier), l AS (SELECT unnest(s) AS id, id AS b FROM dc), m AS (SELECT id, min(b) AS b FROM l GROUP BY 1) SELECT dc.id, coalesce(sb, b) AS superseded_by FROM dc LEFT JOIN m ON m.id = dc.id")
 def _(spark, d):
     k = F.col("s_suppkey")
@@ -392,8 +461,10 @@ def _(spark, d):
     return s.withColumn("allowed", decisions.move_allowed(F.col("old"), F.col("new")))
 
 
-@query("dec15_integrity", "WITH dc AS (SELECT s_suppkey // 2 AS id, [s_suppkey + 3] AS s FROM supplier WHERE s_suppkey % 3 = 0) SELECT 'duplicate' AS check, id::VARCHAR AS id FROM dc GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'dangling', id::VARCHAR FROM (SELECT id, unnest(s) AS t FROM dc) WHERE t NOT IN (SELECT id FROM dc)")
+@query("dec15_integrity", "WITH RECURSIVE dc AS (SELECT s_suppkey // 2 AS id, [s_suppkey // 2 + 1, CASE WHEN s_suppkey % 8 = 0 THEN s_suppkey // 2 - 3 ELSE 1000000 END] AS s, CASE WHEN s_suppkey % 9 = 0 THEN 'wrong' WHEN s_suppkey % 9 = 1 THEN sha256('{\"title\":\"t\"}') END AS h FROM supplier), l AS (SELECT DISTINCT id, unnest(s) AS t FROM dc), e AS (SELECT * FROM l WHERE t IN (SELECT id FROM dc)), r(id, t) AS (SELECT id, t FROM e UNION SELECT r.id, e.t FROM r JOIN e ON e.id = r.t), cy AS (SELECT id FROM r WHERE id = t), fw(id) AS (SELECT DISTINCT id FROM r WHERE t IN (SELECT id FROM cy)), bw(id) AS (SELECT DISTINCT t FROM r WHERE id IN (SELECT id FROM cy)) SELECT 'duplicate' AS check, id::VARCHAR AS id FROM dc GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'changed', id::VARCHAR FROM dc WHERE h = 'wrong' UNION ALL SELECT DISTINCT 'dangling', id::VARCHAR FROM l WHERE t NOT IN (SELECT id FROM dc) UNION ALL SELECT DISTINCT 'cycle', id::VARCHAR FROM cy UNION ALL SELECT DISTINCT 'cycle', fw.id::VARCHAR FROM fw JOIN bw USING (id) WHERE fw.id NOT IN (SELECT id FROM cy) UNION ALL SELECT 'budget', n::VARCHAR FROM (SELECT count(*) AS n FROM dc) WHERE n > 100")
 def _(spark, d):
     k = F.col("s_suppkey")
-    decs = W.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.floor(k / 2).cast("string").alias("id"), F.array((k + 3).cast("string")).alias("supersedes"), F.lit("proposed").alias("status"), F.lit(None).cast("string").alias("body_hash"), F.lit("t").alias("title"))
-    return decisions.integrity(decs).where("check <> 'cycle'")
+    half = F.floor(k / 2).cast("long")
+    links = F.array((half + 1).cast("string"), F.when(k % 8 == 0, half - 3).otherwise(1_000_000).cast("string"))
+    stamp = F.when(k % 9 == 0, "wrong").when(k % 9 == 1, F.sha2(F.lit('{"title":"t"}'), 256))
+    return decisions.integrity(W.table(spark, d, "supplier").select(half.cast("string").alias("id"), links.alias("supersedes"), F.lit("accepted").alias("status"), stamp.alias("body_hash"), F.lit("t").alias("title")))

@@ -92,10 +92,21 @@ def _(spark, d):
     return search.weighted_search(W.parts(spark, d), "Medium BRAND#2", 50).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
 
 
-@query("rnk08_bucket", f"WITH {W.PARTS}, s AS (SELECT id, ({_quality('medium', 'summary')})::DOUBLE AS q FROM parts) SELECT id, CASE WHEN q >= 0.7 THEN 'strong' WHEN q > 0 THEN 'weak' ELSE 'none' END AS bucket FROM s")
+_KINDS = ("Function", "Class", "Interface", "Enum", "Variable", "File", "Directory", "Repository", "Other")
+
+
+@query("rnk08_bucket", f"WITH k AS (SELECT p_partkey AS id, {list(_KINDS)}[p_partkey % 9 + 1] AS kind FROM part) SELECT id, kind, CASE WHEN kind IN ('Function', 'Class', 'Interface', 'Enum', 'Variable') THEN 'symbols' WHEN kind = 'File' THEN 'files' ELSE 'directories' END AS bucket FROM k")
+def _(spark, d):
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 9).cast("int"))
+    return W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), paths.search_bucket(kind).alias("bucket"))
+
+
+@query("rnk05_kinds", f"""WITH {_COSINE}, lx AS ({_bm25_sql(W.PARTS + ", corpus AS (SELECT id, name, qualified_name, summary, signature, file_path FROM parts WHERE id % 3 = 1 UNION ALL SELECT 1000000 + s_suppkey, 'copper ' || s_name, '', 'brass plate', '', '' FROM supplier)", _PART_FIELDS, search.query_tokens(_PART_QUERY), 125)}), a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lx), b AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM c WHERE id % 3 = 1 AND id IN (SELECT p_partkey FROM part))
+SELECT id, floor((coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0)) * 1e9 + 0.5) / 1e9 AS score, CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 'hybrid' WHEN a.rank IS NOT NULL THEN 'lexical' ELSE 'vector' END AS via FROM a FULL JOIN b USING (id) ORDER BY score DESC, id LIMIT 25""")
 def _(spark, d):
-    q = search.match_quality("medium", F.col("summary"))
-    return W.parts(spark, d).select("id", F.when(q >= 0.7, "strong").when(q > 0, "weak").otherwise("none").alias("bucket"))
+    parts = W.parts(spark, d).withColumn("kind", F.when(F.col("id") % 3 == 1, "Function").otherwise("File"))
+    made = W.table(spark, d, "supplier").select((F.lit(1_000_000) + F.col("s_suppkey")).alias("id"), F.concat(F.lit("copper "), "s_name").alias("name"), F.lit("brass plate").alias("summary"))
+    return search.hybrid(parts, _vectors(spark, d), _PART_QUERY, _query_vector(spark, d), kinds=["Function", "Decision"], decisions=made)
 
 
 @query("rnk09_precision_recall", """WITH r AS (SELECT DISTINCT lang AS task, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 1), f AS (SELECT DISTINCT lang AS task, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 800),
@@ -170,16 +181,16 @@ def _(spark, d):
     return W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), paths.module_var_kind(name).alias("kind"))
 
 
-_SPOILED = "s AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || '```x```' WHEN 2 THEN '[' || substr(text, 1, 20) || '](http://x.y)' WHEN 3 THEN chr(1) || chr(7) || '  ' ELSE substr(text, 1, 900) END AS t FROM conversations)"
+_SPOILED = "s AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || '```x```' WHEN 2 THEN '[' || text || '](http://x.y)' WHEN 3 THEN chr(1) || chr(7) || '  ' ELSE text || chr(2) END AS t FROM conversations)"
 _TRIM = "trim(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))"
 
 
 def _spoiled(spark, d):
     t, n = F.col("text"), F.col("turn") % 5
-    return W.table(spark, d, "conversations").select("conv_id", "turn", F.when(n == 0, t).when(n == 1, F.concat(t, F.lit("```x```"))).when(n == 2, F.concat(F.lit("["), F.substring(t, 1, 20), F.lit("](http://x.y)"))).when(n == 3, "\x01\x07  ").otherwise(F.substring(t, 1, 900)).alias("t"))
+    return W.table(spark, d, "conversations").select("conv_id", "turn", F.when(n == 0, t).when(n == 1, F.concat(t, F.lit("```x```"))).when(n == 2, F.concat(F.lit("["), t, F.lit("](http://x.y)"))).when(n == 3, "\x01\x07  ").otherwise(F.concat(t, F.lit("\x02"))).alias("t"))
 
 
-@query("scl07_sanitize", f"WITH {_SPOILED}, v AS (SELECT conv_id, turn, {_TRIM} AS v FROM s), e AS (SELECT *, CASE WHEN length(v) = 0 THEN 'summary is empty' WHEN length(v) > 1000 THEN 'summary exceeds 1000 characters' WHEN contains(v, '```') THEN 'summary must be plain text (no code fences)' WHEN regexp_matches(v, '\\[[^\\]]*\\]\\([^)]*\\)') THEN 'summary must be plain text (no markdown links)' END AS error FROM v) SELECT conv_id, turn, error IS NULL AS ok, CASE WHEN error IS NULL THEN v END AS value, error FROM e")
+@query("scl07_sanitize", f"WITH {_SPOILED}, v AS (SELECT conv_id, turn, {_TRIM} AS v FROM s), e AS (SELECT *, CASE WHEN length(v) = 0 THEN 'EMPTY' WHEN length(v) > 1000 THEN 'TOO_LONG' WHEN contains(v, '```') THEN 'HAS_FENCE' WHEN regexp_matches(v, '\\[[^\\]]*\\]\\([^)]*\\)') THEN 'HAS_LINK' END AS error FROM v) SELECT conv_id, turn, error IS NULL AS ok, CASE WHEN error IS NULL THEN v END AS value, error FROM e")
 def _(spark, d):
     return _spoiled(spark, d).select("conv_id", "turn", text.sanitize(F.col("t")).alias("r")).select("conv_id", "turn", "r.*")
 
@@ -189,6 +200,14 @@ def _(spark, d):
     return _spoiled(spark, d).select("conv_id", "turn", text.neutralize(F.col("t")).alias("value"))
 
 
+@query("dec11_mint_ids", "WITH b AS (SELECT p_partkey AS seq, p_name AS title, p_brand AS body, 'adr:2024-01-01-' || regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS base FROM part), tk AS (SELECT DISTINCT base AS id FROM b WHERE seq % 10 = 0 UNION SELECT DISTINCT base || '-' || substr(sha256(body), 1, 6) FROM b WHERE seq % 15 = 0), p AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) = 1 AND base NOT IN (SELECT id FROM tk) AS plain, base || '-' || substr(sha256(body), 1, 6) AS salted FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY plain, salted ORDER BY seq) - 1 + (salted IN (SELECT id FROM tk))::INT AS k FROM p) SELECT seq, CASE WHEN plain THEN base WHEN k > 0 THEN salted || '.' || k ELSE salted END AS decision_id FROM n")
+def _(spark, d):
+    rows = W.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.lit("2024-01-01").alias("day"), F.col("p_name").alias("title"), F.col("p_brand").alias("body"))
+    base = text.decision_id(F.col("day"), F.col("title"))
+    taken = rows.where("seq % 10 = 0").select(base.alias("id")).union(rows.where("seq % 15 = 0").select(F.concat(base, F.lit("-"), F.substring(F.sha2("body", 256), 1, 6)))).distinct()
+    return text.mint_ids(rows, taken).select("seq", "decision_id")
+
+
 @query("dec11_mint_id", "WITH b AS (SELECT p_partkey AS id, 'adr:2024-01-01-' || regexp_replace(substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS base, p_type FROM part), t AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) > 1 AS taken FROM b) SELECT id, CASE WHEN taken THEN base || '-' || substr(sha256(p_type), 1, 6) ELSE base END AS decision_id FROM t")
 def _(spark, d):
     p = W.table(spark, d, "part").withColumn("taken", F.expr("row_number() over (partition by trim(both '-' from regexp_replace(lower(p_name), '[^a-z0-9]+', '-')) order by p_partkey) > 1"))
@@ -217,7 +236,40 @@ def _(spark, d):
     return W.table(spark, d, "events").select("event_id", F.octet_length("props").cast("long").alias("bytes"), F.concat_ws(",", F.array_sort(F.json_object_keys("props"))).alias("keys"))
 
 
-@query("scl03_fnv1a")
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query("scl05_fingerprint", "SELECT p_partkey AS id, printf('%x', " + _FNV.format("p_name || chr(10) || p_type || chr(10)") + ") AS print FROM part")
+def _(spark, d):
+    return W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.fingerprint(F.array("p_name", "p_type")).alias("print"))
+
+
+@query("scl09_field_caps", "WITH f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE repeat(p_name, (p_partkey % 12)::INT) END AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE repeat('c', (p_partkey * 3 % 2300)::INT) END AS context, 'ok' AS decision, CASE WHEN p_partkey % 3 = 0 THEN repeat('q', (p_partkey % 2200)::INT) END AS consequences, CASE WHEN p_partkey % 4 = 0 THEN '```' WHEN p_partkey % 4 = 1 THEN repeat('a', (p_partkey % 1100 + 1)::INT) END AS alternatives FROM part) SELECT id, CASE WHEN length(trim(title)) = 0 THEN 'title EMPTY' WHEN length(title) > 120 THEN 'title TOO_LONG' WHEN length(coalesce(context, '')) = 0 THEN 'context EMPTY' WHEN length(context) > 2000 THEN 'context TOO_LONG' WHEN length(consequences) = 0 THEN 'consequences EMPTY' WHEN length(consequences) > 2000 THEN 'consequences TOO_LONG' WHEN contains(alternatives, '```') THEN 'alternatives HAS_FENCE' WHEN length(alternatives) > 1000 THEN 'alternatives TOO_LONG' ELSE 'fine' END AS verdict FROM f")
+def _(spark, d):
+    k = F.col("p_partkey")
+    times = lambda c, n: F.expr(f"repeat({c}, cast({n} as int))")
+    rows = W.table(spark, d, "part").select(
+        k.alias("id"),
+        F.when(k % 7 == 0, " ").otherwise(times("p_name", "p_partkey % 12")).alias("title"),
+        F.when(k % 5 != 0, times("'c'", "p_partkey * 3 % 2300")).alias("context"),
+        F.lit("ok").alias("decision"),
+        F.when(k % 3 == 0, times("'q'", "p_partkey % 2200")).alias("consequences"),
+        F.when(k % 4 == 0, "```").when(k % 4 == 1, times("'a'", "p_partkey % 1100 + 1")).alias("alternatives"),
+    )
+    return rows.select("id", text.sanitize_fields().alias("r")).select("id", F.when(F.col("r.ok"), "fine").otherwise(F.concat_ws(" ", "r.field", "r.error")).alias("verdict"))
+
+
+@query("scl15_sizes", f"WITH {W.EDGES} SELECT src, dst, floor(least(1.0, greatest(0.15, CASE call_sites % 3 WHEN 0 THEN 0.75 WHEN 1 THEN 0.42 ELSE 0.15 END * (1 + 0.18 * ln(1 + call_sites)))) * 1e6 + 0.5) / 1e6 AS opacity, floor(least(12.0, greatest(1.0, CASE src % 4 WHEN 0 THEN 6 WHEN 1 THEN 3.5 WHEN 2 THEN 2.6 ELSE 1.4 END + 0.9 * ln(1 + dst))) * 1e6 + 0.5) / 1e6 AS size, floor(CASE WHEN dst <= 220 THEN 1.0 ELSE greatest(0.04, 220::DOUBLE / dst) END * 1e6 + 0.5) / 1e6 AS scale FROM ed")
+def _(spark, d):
+    from ..operators import geometry
+
+    at = lambda names, c: F.get(F.array(*map(F.lit, names)), (F.col(c) % len(names)).cast("int"))
+    six = lambda c, n: (F.floor(c * 1e6 + 0.5) / 1e6).alias(n)
+    opacity = geometry.bundle_opacity(at(("exact", "name_match", "ambiguous"), "call_sites"), F.col("call_sites"))
+    return W.edges(spark, d).select("src", "dst", six(opacity, "opacity"), six(geometry.node_size(at(("galaxy", "dir", "file", "symbol"), "src"), F.col("dst")), "size"), six(geometry.edge_scale(F.col("dst")), "scale"))
+
+
+@query("scl03_fnv1a", "SELECT p_partkey AS id, " + _FNV.format("p_name") + " AS hash FROM part")
 def _(spark, d):
     return W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.fnv1a(F.col("p_name")).alias("hash"))
 
@@ -322,7 +374,7 @@ def _(spark, d):
     return W.page_paths(spark, d).groupBy("host").agg(F.count(F.lit(1)).alias("files"), F.countDistinct(F.regexp_extract("path", "^[^/]*", 0)).alias("folders"))
 
 
-@query("agg20_report_means", "SELECT label, floor(avg(s) * 1e6 + 0.5) / 1e6 AS mean, count(*) AS n FROM (SELECT label, list_sum(embedding[1:4]::DOUBLE[]) AS s FROM embeddings) GROUP BY 1 HAVING avg(s) >= 0 OR true")
+@query("agg20_report_means", "SELECT label, floor(avg(s) * 1e6 + 0.5) / 1e6 AS mean, count(*) AS n FROM (SELECT label, list_sum(embedding::DOUBLE[]) AS s FROM embeddings) GROUP BY 1")
 def _(spark, d):
-    s = F.aggregate(F.slice("embedding", 1, 4).cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    s = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     return W.table(spark, d, "embeddings").select("label", s.alias("s")).groupBy("label").agg((F.floor(F.avg("s") * 1e6 + 0.5) / 1e6).alias("mean"), F.count(F.lit(1)).alias("n"))
