@@ -66,8 +66,11 @@ def assert_read_only(query: str, spark: SparkSession | None = None, views: Itera
         raise NotReadOnly(f"not among the functions allowed: {', '.join(bad)}")
     if spark is None:
         return
-    session = spark._jsparkSession
-    for node in _nodes(session.sessionState().sqlParser().parsePlan(query)):
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Exception as e:
+        raise NotReadOnly("not a query") from e
+    for node in _nodes(parsed):
         if (name := node.nodeName().lstrip("'")) not in NODES:
             raise NotReadOnly(f"not read-only: {name}")
         if name == "UnresolvedRelation" and node.multipartIdentifier().size() != 1:

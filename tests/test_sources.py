@@ -88,9 +88,9 @@ def test_session_log(spark, tmp_path):
 
 
 @pytest.mark.parametrize("query", ["insert into t select 1", "select 1; select 2", "drop table x", "explain select 1", "with a as (select 1) delete from b", ""])
-def test_not_read_only(query):
+def test_not_read_only(spark, query):
     with pytest.raises(guard.NotReadOnly):
-        guard.assert_read_only(query)
+        guard.assert_read_only(query, spark)
 
 
 def test_read_only_allows_words_in_literals(spark):
