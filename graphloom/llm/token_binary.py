@@ -178,13 +178,22 @@ class _Memo:
         if len(self.keys) > MEMO:
             self.__init__()
         new = np.flatnonzero(~self.find(hashes)[1])
-        new = new[np.unique(hashes[:, new], axis=1, return_index=True)[1]]
+        new = new[np.argsort(hashes[0, new], kind="stable")]
         keys, checks = hashes[:, new]
-        taken = np.isin(keys, self.keys)
-        taken[np.setdiff1d(np.arange(len(new)), np.unique(keys, return_index=True)[1])] = True
-        keys, checks = np.where(taken, checks, keys), np.where(taken, keys, checks)
-        order = np.argsort(keys, kind="stable")
-        keys, checks, new = keys[order], checks[order], new[order]
+        twin = np.concatenate(([False], keys[1:] == keys[:-1])) if len(new) else np.zeros(0, bool)
+        if twin.any():
+            same = twin & np.concatenate(([False], checks[1:] == checks[:-1]))
+            kept = np.flatnonzero(~same)
+            if (twin & ~same).any():  # several words have one first hash: rare
+                kept = np.unique(np.stack((keys, checks)), axis=1, return_index=True)[1]
+            new, keys, checks = new[kept], keys[kept], checks[kept]
+            twin = np.concatenate(([False], keys[1:] == keys[:-1]))
+        if len(self.keys):
+            twin |= self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        if twin.any():
+            keys, checks = np.where(twin, checks, keys), np.where(twin, keys, checks)
+            order = np.argsort(keys, kind="stable")
+            keys, checks, new = keys[order], checks[order], new[order]
         size = np.fromiter((len(ids[i]) for i in new), np.int64, len(new))
         flat = np.fromiter((x for i in new for x in ids[i]), np.uint32, int(size.sum()))
         if len(flat) and flat.max() >> 16 and self.ids.dtype == np.uint16:
