@@ -142,16 +142,16 @@ def profile(edges: DataFrame, targets: DataFrame, most: int = MAX_NEIGHBORS) ->
 
     One more than `most` is fetched to tell truncation; the two-hop list is cut before the nearer ones are taken out.
     """
-    seeds = targets.select(F.col("id").alias("target"))
+    seeds, edges = targets.select(F.col("id").alias("target")), cut_lineage(edges.select("src", "dst"))
     rank = lambda rows: rows.withColumn("r", F.expr("row_number() over (partition by target order by id)"))
     up = rank(edges.join(seeds, F.col("dst") == F.col("target")).select("target", F.col("src").alias("id")).distinct())
-    down = rank(edges.join(seeds, F.col("src") == F.col("target")).select("target", F.col("dst").alias("id")).distinct())
+    down = cut_lineage(rank(edges.join(seeds, F.col("src") == F.col("target")).select("target", F.col("dst").alias("id")).distinct()))
     two = down.select("target", F.col("id").alias("mid")).join(edges, F.col("mid") == F.col("src")).select("target", F.col("dst").alias("id")).distinct()
     two = rank(two).where(F.col("r") <= most + 1).join(down.select("target", "id"), ["target", "id"], "left_anti").where("id <> target")
     out = None
     for side, distance, rows in (("up", 1, up), ("down", 1, down), ("down", 2, two)):
-        flags = rows.groupBy("target").agg((F.max("r") > most).alias("truncated"))
-        part = rows.where(F.col("r") <= most).join(flags, "target").select("target", F.lit(side).alias("side"), F.lit(distance).alias("distance"), "id", "truncated")
+        flagged = rows.withColumn("truncated", F.expr("max(r) over (partition by target)") > most)
+        part = flagged.where(F.col("r") <= most).select("target", F.lit(side).alias("side"), F.lit(distance).alias("distance"), "id", "truncated")
         out = part if out is None else out.unionByName(part)
     return out
 
