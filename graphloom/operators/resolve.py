@@ -127,18 +127,36 @@ def receiver_bindings(constructions: DataFrame, classes: DataFrame, bindings: Da
     return held.where(F.size("all") == 1).select("caller_id", "local", F.col("all")[0].alias("class_id"))
 
 
+def distinct_calls(calls: DataFrame) -> DataFrame:
+    """Calls that no rung can tell apart as one row, with the least seq and how many there are (sites).
+
+    A rung sees the caller, its file, the callee and the receiver only, so equal calls resolve alike.  A name with many
+    definitions meets each of its callers once then, not once a call: the join on the name gives what the edges need.
+    """
+    keys = [c for c in calls.columns if c not in ("seq", "sites")]
+    return calls.groupBy(*keys).agg(F.min("seq").alias("seq"), F.sum(_sites(calls)).alias("sites"))
+
+
+def _sites(calls: DataFrame) -> Column:
+    return F.col("sites") if "sites" in calls.columns else F.lit(1).cast("long")
+
+
 def resolve_calls(calls: DataFrame, funcs: DataFrame, classes: DataFrame, bindings: DataFrame, aliases: DataFrame, receivers: DataFrame) -> DataFrame:
-    """(seq, caller_id, target, resolution, confidence) of every call's targets; unresolved calls have none."""
+    """(seq, caller_id, target, resolution, confidence) of every call's targets; unresolved calls have none.
+
+    With calls of `distinct_calls` the rows are theirs.
+    """
     methods = funcs.groupBy(F.col("file_path").alias("t_path"), F.col("qualified").alias("t_qualified")).agg(F.max("id").alias("target"))
     free = funcs.where(~F.col("qualified").contains(".")).select(F.col("file_path").alias("t_path"), F.col("name").alias("t_name"), F.col("id").alias("target"))
     by_name = funcs.select(F.col("name").alias("callee"), F.col("id").alias("target"), dir_of(F.col("file_path")).alias("t_dir"))
     counts = by_name.groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
     done: list[DataFrame] = []
+    carried = ["sites"] if "sites" in calls.columns else []
 
     def keep(rows: DataFrame, how: str | None = None, confidence: float | None = None) -> DataFrame:
         if how:
             rows = rows.withColumn("resolution", F.lit(how)).withColumn("confidence", F.lit(confidence))
-        done.append(rows.select("seq", "caller_id", "target", "resolution", "confidence"))
+        done.append(rows.select("seq", "caller_id", "target", "resolution", "confidence", *carried))
         return rows.select("seq").distinct()
 
     # 1: a method of the caller's own class
@@ -184,22 +202,26 @@ def resolve_calls(calls: DataFrame, funcs: DataFrame, classes: DataFrame, bindin
 
 
 def _best(rows: DataFrame, count: str) -> DataFrame:
-    """Per (src, dst): how many, and the resolution of the highest confidence, the first of equal ones."""
+    """Per (src, dst): how many sites, and the resolution of the highest confidence, the first of equal ones."""
     best = F.max_by(F.struct("resolution", "confidence"), F.struct(F.col("confidence"), -F.col("seq")))
-    return rows.groupBy("src", "dst").agg(best.alias("b"), F.count(F.lit(1)).alias(count)).select("src", "dst", "b.resolution", "b.confidence", count)
+    return rows.groupBy("src", "dst").agg(best.alias("b"), F.sum(_sites(rows)).alias(count)).select("src", "dst", "b.resolution", "b.confidence", count)
 
 
 def call_edges(calls: DataFrame, resolved: DataFrame, classes: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """CALLS edges, INSTANTIATES edges of bare calls that name a class, and the bare calls without any target."""
+    """CALLS edges, INSTANTIATES edges of bare calls that name a class, and the bare calls without any target.
+
+    calls and resolved: all calls, or those of `distinct_calls` and what they resolve to.
+    """
     resolved = cut_lineage(resolved)
+    owners = calls.select("seq", "caller_id", _sites(calls).alias("sites"))
     exact = resolved.where("confidence >= 1.0").select("seq").distinct()
     open_ = calls.where("receiver is null").join(exact, "seq", "left_anti")
     refs = open_.select(F.col("seq").alias("ref"), F.col("caller_id").alias("from_id"), F.col("caller_path").alias("from_path"), F.col("caller_file_id").alias("from_file_id"), F.col("callee").alias("base"))
     lifted = cut_lineage(resolve_types(refs, classes, bindings).withColumnRenamed("ref", "seq"))
     kept = resolved.join(lifted, "seq", "left_anti")
-    made = lifted.join(calls.select("seq", "caller_id"), "seq")
-    edges = _best(kept.select("seq", F.col("caller_id").alias("src"), F.col("target").alias("dst"), "resolution", "confidence"), "call_sites")
-    built = _best(made.select("seq", F.col("caller_id").alias("src"), F.col("target").alias("dst"), "resolution", "confidence"), "sites")
+    made = lifted.join(owners, "seq")
+    edges = _best(kept.select("seq", F.col("caller_id").alias("src"), F.col("target").alias("dst"), "resolution", "confidence", _sites(kept).alias("sites")), "call_sites")
+    built = _best(made.select("seq", F.col("caller_id").alias("src"), F.col("target").alias("dst"), "resolution", "confidence", "sites"), "sites")
     unresolved = open_.join(lifted, "seq", "left_anti").join(resolved, "seq", "left_anti")
     return edges, built, unresolved
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions, federation, merge, resolve
+from ..operators.traverse import cut_lineage
 from . import workload as W
 from .registry import query
 
@@ -210,8 +211,9 @@ def _(spark, d):
 
 @query("res20_call_edges", _LADDER + ", q AS (SELECT *, row_number() OVER (PARTITION BY caller_id, target ORDER BY confidence DESC, seq) AS n, count(*) OVER (PARTITION BY caller_id, target) AS call_sites FROM rs) SELECT caller_id AS src, target AS dst, resolution, confidence, call_sites FROM q WHERE n = 1")
 def _(spark, d):
-    facts = _facts(spark, d)
-    return resolve.call_edges(facts[0], resolve.resolve_calls(*facts), facts[2], facts[3])[0]
+    calls, *facts = _facts(spark, d)
+    calls = cut_lineage(resolve.distinct_calls(calls))
+    return resolve.call_edges(calls, resolve.resolve_calls(calls, *facts), facts[1], facts[2])[0]
 
 
 _TYPES = """ty AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'Interface' ELSE 'Class' END AS label, 'T' || (s_suppkey % 37) AS name, 'T' || (s_suppkey % 37) AS qualified, 'n' || s_nationkey || '/f' || (s_suppkey % 3) AS file_path FROM supplier),
