@@ -51,14 +51,26 @@ def on_new_head(heads: DataFrame, reindex: Callable[[str, str], None], checkpoin
     """Calls reindex(repo, sha) for each repository whose newest head (repo, sha, seq) differs from the one before.
 
     A query runs one batch at a time, which is the mutual exclusion of index runs; a batch's heads are one a repository.
+    Heads that were handled are kept beside the checkpoint, a folder for each batch that had any, so a restart doesn't
+    repeat them; a batch that fails midway is repeated whole.
     """
-    last: dict[str, str] = {}
-
-    def batch(rows: DataFrame, _: int) -> None:
-        for r in rows.groupBy("repo").agg(F.max_by("sha", "seq").alias("sha")).toLocalIterator():
-            if last.get(r.repo) != r.sha:
+    spark, kept = heads.sparkSession, f"{checkpoint.rstrip('/')}-heads"
+    schema = "repo string, sha string"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{kept}/batch=-1")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(f"{schema}, batch long").parquet(kept).where(F.col("batch") < number)
+        before = before.groupBy("repo").agg(F.max_by("sha", "batch").alias("known"))
+        newest = rows.groupBy("repo").agg(F.max_by("sha", "seq").alias("sha"))
+        changed = newest.join(before, "repo", "left").where(~F.col("sha").eqNullSafe(F.col("known"))).select("repo", "sha").persist()
+        try:
+            if changed.isEmpty():
+                return
+            for r in changed.toLocalIterator():
                 reindex(r.repo, r.sha)
-                last[r.repo] = r.sha
+            changed.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        finally:
+            changed.unpersist()
 
     writer = heads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()

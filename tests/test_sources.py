@@ -147,6 +147,10 @@ def test_new_heads_run_once(spark, tmp_path):
     heads = spark.readStream.schema("repo string, sha string, seq long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(tmp_path / "heads"))
     streams.on_new_head(heads, lambda repo, sha: seen.append(sha), str(tmp_path / "cp"), once=True).awaitTermination(120)
     assert seen == ["s1", "s2"]
+    for name, sha in (("d", "s2"), ("e", "s3")):
+        spark.createDataFrame([("r", sha, ord(name))], "repo string, sha string, seq long").coalesce(1).write.json(str(tmp_path / "heads" / name))
+    streams.on_new_head(heads, lambda repo, sha: seen.append(sha), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert seen == ["s1", "s2", "s3"]
 
 
 def test_pending_drift(spark, tmp_path):
