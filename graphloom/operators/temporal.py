@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Files of a commit that counts for co-change, least support, partners and authors listed.
@@ -48,35 +48,59 @@ def partners(pairs: DataFrame, counts: DataFrame, top: int = TOP_PARTNERS) -> Da
     return rows.withColumn("place", F.expr("row_number() over (partition by path order by confidence desc, support desc, other)")).where(F.col("place") <= top)
 
 
-def canonical_paths(changes: DataFrame, key: str = "repo") -> DataFrame:
-    """changes (repo, seq newest first, status, path, rename_to) with path as it is called now.
+def renamed(changes: DataFrame, key: str = "repo") -> DataFrame:
+    """(key, path, seq, pos, now): from that change on, back in time, path is called now today.
 
-    The alias map depends on the order of a repository's commits; each repository is a group of its own.
+    Only renames and copies are gathered, a repository's in one task, as each depends on those before it.  A name that
+    is renamed again further back stands for another file there: its later entry counts, for it and what leads to it.
     """
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable")
-        alias: dict[str, str] = {}
+        frame = frame.sort_values(["seq", "pos", "path", "rename_to"], kind="stable")
+        up: dict[str, str] = {}  # a forest: a root is called what it is
+        below: dict[str, set[str]] = {}
+        out = []
+        for seq, pos, path, to in zip(frame["seq"], frame["pos"], frame["path"], frame["rename_to"], strict=True):
+            while to in up:
+                to = up[to]
+            if path in up:
+                below[up.pop(path)].discard(path)
+            if to != path:
+                up[path] = to
+                below.setdefault(to, set()).add(path)
+            todo = [path]
+            while todo:
+                name = todo.pop()
+                out.append((seq, pos, name, to))
+                todo += sorted(below.get(name, ()))
+        moved = pd.DataFrame(out, columns=["seq", "pos", "path", "now"])
+        return moved.assign(**{key: frame[key].iloc[0]})[[key, "path", "seq", "pos", "now"]]
 
-        def now(path: str) -> str:
-            seen = {path}
-            while path in alias and alias[path] not in seen:
-                path = alias[path]
-                seen.add(path)
-            return path
+    kind = changes.schema[key].dataType.simpleString()
+    rows = _placed(changes).where(_moves()).select(key, F.col("seq").cast("long").alias("seq"), "pos", "path", "rename_to")
+    return rows.groupBy(key).applyInPandas(walk, f"{key} {kind}, path string, seq long, pos long, now string")
 
-        out = []
-        for status, path, to in zip(frame["status"], frame["path"], frame["rename_to"], strict=True):
-            if status[:1] in ("R", "C") and isinstance(to, str):
-                target = now(to)
-                if target != path:
-                    alias.setdefault(path, target)
-                out.append(target)
-            else:
-                out.append(now(path))
-        return frame.assign(path=out)
-
-    return changes.groupBy(key).applyInPandas(walk, changes.schema)
+
+def _moves() -> Column:
+    return F.coalesce(F.col("status").rlike("^[RC]") & F.col("rename_to").isNotNull(), F.lit(False))
+
+
+def _placed(changes: DataFrame) -> DataFrame:
+    return changes.withColumn("pos", F.col("pos").cast("long") if "pos" in changes.columns else F.lit(0).cast("long"))
+
+
+def canonical_paths(changes: DataFrame, key: str = "repo") -> DataFrame:
+    """changes (repo, seq newest first, pos in the commit if there, status, path, rename_to) with path as it is called now.
+
+    Each row looks its name (a rename's new one) up among the entries of `renamed` that come before it: an equi-join on
+    the name, whose rows are as few as renames.
+    """
+    entry = F.struct("seq", "pos", "now")
+    names = renamed(changes, key).groupBy(key, F.col("path").alias("_name")).agg(F.array_sort(F.collect_list(entry)).alias("_moves"))
+    rows = _placed(changes).withColumn("_name", F.when(_moves(), F.col("rename_to")).otherwise(F.col("path"))).join(names, [key, "_name"], "left")
+    at = F.struct(F.col("seq").cast("long"), F.col("pos"))
+    last = F.try_element_at(F.filter("_moves", lambda e: F.struct(e["seq"], e["pos"]) < at), F.lit(-1))
+    return rows.withColumn("path", F.coalesce(last["now"], "_name")).select(changes.columns)
 
 
 def coupling_links(pairs: DataFrame, place: DataFrame) -> DataFrame:

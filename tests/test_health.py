@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,27 @@ def test_rename_cycle(spark):
     rows = [("r", 0, "R100", "a", "b"), ("r", 1, "R100", "b", "a"), ("r", 2, "M", "a", None), ("s", 0, "M", "a", None)]
     got = temporal.canonical_paths(spark.createDataFrame(rows, "repo string, seq long, status string, path string, rename_to string")).collect()
     assert len(got) == 4 and {r.path for r in got if r.repo == "s"} == {"a"}
+
+
+def test_canonical_paths_against_a_plain_walk(spark):
+    """Names that come, go and come back, in two repositories; each change sees the renames before it in the log."""
+    rng = random.Random(7)
+    rows = []
+    for repo in ("r", "s"):
+        for i in range(250):
+            a, b = rng.choice("abcdefgh"), rng.choice("abcdefgh")
+            rows.append((repo, i // 3, i % 3, "R090" if i % 4 == 0 else "C" if i % 9 == 0 else "M", a, b if i % 4 == 0 or i % 9 == 0 else None, i))
+    want, alias = {}, {"r": {}, "s": {}}
+    for repo, _, _, status, path, to, i in rows:
+        own, name = alias[repo], path if status == "M" else to
+        while own.get(name, name) != name:
+            name = own[name]
+        want[repo, i] = name
+        if status != "M":
+            own[path] = name
+    shuffled = rng.sample(rows, len(rows))
+    table = spark.createDataFrame(shuffled, "repo string, seq int, pos int, status string, path string, rename_to string, i int")
+    got = temporal.canonical_paths(table)
+    assert got.columns == table.columns
+    assert {(r.repo, r.i): r.path for r in got.collect()} == want
+    assert temporal.canonical_paths(table.limit(0)).count() == 0
