@@ -1,9 +1,8 @@
-"""Health checks, decision documents, crumbs and budgets."""
+"""Health checks, canonical decisions, crumbs and budgets."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -96,29 +95,6 @@ def segment_counts(bundles: DataFrame, budget: int, least: int = 1) -> DataFrame
     return bundles.select("id", (F.lit(least) + F.floor(F.col("weight") / whole["total"] * spare)).cast("int").alias("segments"))
 
 
-def decision_markdown(record: dict, number: int) -> tuple[str, str]:
-    """(file name, text) of a decision."""
-    slug = re.sub(r"^adr:\d{4}-\d{2}-\d{2}-", "", record["id"])
-    parts = [f"# {number}. {record['title']}", f"Date: {record['decided_at']}", "## Status", record["status"].capitalize()]
-    for name in ("context", "decision", "consequences", "alternatives"):
-        if record.get(name):
-            parts += [f"## {name.capitalize()}", record[name]]
-    return f"{number:04d}-{slug}.md", "\n\n".join([*parts, f"<!-- {record['id']} -->"]) + "\n"
-
-
-def parse_decision_markdown(text: str) -> dict | None:
-    """The record of such a text; None if it has no title."""
-    title = re.search(r"(?m)^#\s+(?:\d+\.\s*)?(.+?)\s*$", text)
-    if not title:
-        return None
-    sections = {m[1].lower(): m[2].strip() for m in re.finditer(r"(?ms)^##\s+(\w+)\s*$(.*?)(?=^##\s|^<!--|\Z)", text)}
-    own, day = re.search(r"<!-- (adr:\S+) -->", text), re.search(r"(?m)^Date:\s*(\d{4}-\d{2}-\d{2})", text)
-    known = ("proposed", "accepted", "rejected", "deprecated", "superseded")
-    status = (sections.get("status", "").split() or ["proposed"])[0].lower()
-    out = {"id": own[1] if own else None, "title": title[1], "decided_at": day[1] if day else None, "status": status if status in known else "proposed"}
-    return out | {k: sections[k] for k in ("context", "decision", "consequences", "alternatives") if k in sections}
-
-
 def canonical_decision(record: dict) -> str:
     """JSON with id first, all other keys sorted at every level, two spaces, nulls left out."""
 

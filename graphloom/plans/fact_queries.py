@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, health, merge, resolve, rollup
+from ..operators import decisions, documents, health, merge, resolve, rollup
 from ..sources import build, jsonl, stores, tree
 from . import workload as W
 from .record_queries import _DEC, _decisions, _NEW, _OLD, _snapshots
@@ -338,6 +338,34 @@ def _(spark, d):
     return W.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" > ", health.crumbs(labels)).alias("crumbs"))
 
 
+_SUPPLIED = "SELECT s_nationkey % 5 AS r, 'adr:2024-01-02-' || replace(lower(s_name), '#', '-') AS id, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'accepted' ELSE 'proposed' END AS status FROM supplier"
+
+
+def _supplied(spark, d):
+    """Decisions whose prose holds headings, an empty line and white space."""
+    s = W.table(spark, d, "supplier")
+    text = lambda x: F.lit(x).cast("string")
+    anchor = "array<struct<path:string,node_id:string,kind:string>>"
+    return s.select(
+        (F.col("s_nationkey") % 5).alias("repo"), F.concat(F.lit("adr:2024-01-02-"), F.replace(F.lower("s_name"), F.lit("#"), F.lit("-"))).alias("id"), F.col("s_name").alias("title"),
+        F.when(F.col("s_suppkey") % 3 == 0, "accepted").otherwise("proposed").alias("status"), F.lit("2024-01-02").alias("decided_at"),
+        F.concat(F.lit("# "), "s_name", F.lit("\n\n  is far")).alias("context"), F.lit("## No").alias("decision"), text(None).alias("consequences"), text("").alias("alternatives"),
+        F.when(F.col("s_suppkey") % 3 == 1, "adr:x").alias("superseded_by"), F.lit(None).cast(anchor).alias("anchors"), F.array(F.col("s_name")).alias("paths"), F.lit(None).cast("array<string>").alias("supersedes"),
+    )
+
+
+@query("src22_exported", f"SELECT r AS repo, n AS number, lpad(n::VARCHAR, 4, '0') || '-' || id[5:] || '.md' AS file, '# ' || n || '. ' || title || chr(10) || chr(10) || 'Date: 2024-01-02' || chr(10) || chr(10) || '## Status' || chr(10) || chr(10) || status || CASE WHEN k = 1 THEN ' (superseded by adr:x)' ELSE '' END || chr(10) || chr(10) || '## Context' || chr(10) || chr(10) || '\\# ' || title || chr(10) || chr(10) || '  is far' || chr(10) || chr(10) || '## Decision' || chr(10) || chr(10) || '\\## No' || chr(10) || chr(10) || '## Governs' || chr(10) || chr(10) || '- ' || title || chr(10) || chr(10) || '<!-- graphloom export: ' || id || ' -->' || chr(10) AS text FROM (SELECT q.*, s.s_suppkey % 3 AS k, row_number() OVER (PARTITION BY r ORDER BY id)::INTEGER AS n FROM ({_SUPPLIED}) q JOIN supplier s ON s.s_name = q.title)")
+def _(spark, d):
+    return documents.exported(_supplied(spark, d))
+
+
+@query("src22_imported", f"SELECT id, title, status, '# ' || title || ' is far' AS context, '## No' AS decision, '2024-01-02' AS decided_at FROM ({_SUPPLIED}) WHERE r <> 0")
+def _(spark, d):
+    supplied = _supplied(spark, d)
+    new, _, _ = documents.imported(documents.exported(supplied).select("file", "text"), supplied.where("repo = 0").select("id"), "2025-01-01")
+    return new.select("id", "title", "status", "context", "decision", "decided_at")
+
+
 @query("set18_stale_writes", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS stale_replaced FROM part WHERE p_partkey % 2 = 0")
 def _(spark, d):
     k = F.col("p_partkey")

@@ -3,14 +3,51 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import health, rollup, temporal
-
-
-def test_markdown_round_trip():
-    record = {"id": "adr:2024-01-02-use-x", "title": "Use X", "decided_at": "2024-01-02", "status": "accepted", "context": "Why.", "decision": "X it is.\n\nReally."}
-    name, text = health.decision_markdown(record, 7)
-    assert name == "0007-use-x.md" and health.parse_decision_markdown(text) == record
-    assert health.parse_decision_markdown("no title") is None
+from graphloom.operators import documents, health, rollup, temporal
+
+
+DECISIONS = "repo string, id string, title string, status string, decided_at string, context string, decision string, consequences string, alternatives string, superseded_by string, anchors array<struct<path:string,node_id:string,kind:string>>, paths array<string>, supersedes array<string>"
+
+
+def test_documents(spark):
+    a = ("r", "adr:2024-01-02-use-x", "Use X", "accepted", "2024-01-02", "Why.", "X it is.\n\n## Really.\n# so", None, None, None, [("a.py", "n", None), (None, "n2", "Function")], ["src/"], None)
+    b = ("r", "adr:2024-01-01-old", "Old", "superseded", "2024-01-01", None, "Y", "It costs.", "", a[1], None, None, ["adr:z"])
+    c = ("s", "adr:2024-01-05-other", "Other", "proposed", "2024-01-05", "", "Z", None, None, None, [], [], [])
+    out = {(r.repo, r.number): r for r in documents.exported(spark.createDataFrame([a, b, c], DECISIONS)).collect()}
+    assert {k: r.file for k, r in out.items()} == {("r", 1): "0001-2024-01-01-old.md", ("r", 2): "0002-2024-01-02-use-x.md", ("s", 1): "0001-2024-01-05-other.md"}
+    assert out["r", 2].text == (
+        "# 2. Use X\n\nDate: 2024-01-02\n\n## Status\n\naccepted\n\n## Context\n\nWhy.\n\n## Decision\n\nX it is.\n\n\\## Really.\n\\# so\n\n"
+        "## Governs\n\n- a.py (node)\n- n2 (Function)\n- src/\n\n<!-- graphloom export: adr:2024-01-02-use-x -->\n"
+    )
+    assert "## Status\n\nsuperseded (superseded by adr:2024-01-02-use-x)\n\n## Context\n\n\n\n## Decision" in out["r", 1].text and "- adr:z\n" in out["r", 1].text and "Alternatives" not in out["r", 1].text
+    docs = spark.createDataFrame([(r.file, r.text) for r in out.values()], "file string, text string")
+    got = {r.title: r for r in documents.parsed(docs).collect()}
+    assert all(r.ok for r in got.values()) and got["Use X"].decision == "X it is. ## Really. # so" and got["Use X"].status == "accepted"
+    assert (got["Old"].status, got["Old"].context, got["Old"].consequences, got["Old"].decided_at) == ("superseded", None, "It costs.", "2024-01-01")
+
+
+def test_documents_of_others(spark):
+    texts = {
+        "1.md": "# 12. Use Y\r\nDate: 2023-05-06\r\n## Status\r\nAccepted (late)\r\n## Decision\r\n  yes\r\n## decision\r\nforged\r\n",
+        "2.md": "# Use Y\nDate: 2023-05-06\n## Status\naccepted\n## Decision\nagain",
+        "3.md": "# Undated\n## Status\nproposed\n## Decision\n<!-- no -->\nyes\nDate: 2020-01-01",
+        "4.md": "no title",
+        "5.md": "# T\n## Status\nunsure\n## Decision\nx",
+        "6.md": "# T\n## Status\naccepted\n## Decision\n\n",
+        "7.md": "",
+        "8.md": None,
+        "9.md": "# Known\nDate: 2022-01-01\n## Status\naccepted\n## Decision\nx",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "file string, text string")
+    new, none, held = documents.imported(docs, spark.createDataFrame([("adr:2022-01-01-known",)], "id string"), "2025-01-01")
+    assert sorted((r.id, r.status, r.context, r.decision, r.file) for r in new.collect()) == [
+        ("adr:2023-05-06-use-y", "accepted", "", "yes", "1.md"),
+        ("adr:2025-01-01-undated", "proposed", "", "yes Date: 2020-01-01", "3.md"),
+    ]
+    assert sorted(r.file for r in none.collect()) == ["4.md", "5.md", "6.md", "7.md", "8.md"]
+    assert sorted(r.file for r in held.collect()) == ["2.md", "9.md"]
+    again, _, _ = documents.imported(docs, new.select("id"), "2025-01-01")
+    assert [r.id for r in again.collect()] == ["adr:2022-01-01-known"]
 
 
 def test_canonical_decision():
