@@ -6,7 +6,7 @@ anchors array<struct<path, node_id, kind>>, paths array<string>, supersedes arra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decision_id
@@ -32,9 +32,13 @@ def _listed(items: Column) -> Column:
 def exported(decisions: DataFrame) -> DataFrame:
     """(repo, number, file, text) of decisions, numbered by id within their repository, so equal input gives equal files.
 
+    Decisions of one id follow in order of their other columns; equal ones are numbered together, and then dealt out.
     Lines of prose that would read as headings are escaped.
     """
-    rows = decisions.withColumn("number", F.expr("row_number() over (partition by repo order by id)"))
+    order = ["id", *sorted(c for c in decisions.columns if c not in ("repo", "id"))]
+    kinds = decisions.groupBy("repo", *order).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = kinds.withColumn("_last", F.sum("_n").over(Window.partitionBy("repo").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = kinds.withColumn("number", F.explode(F.sequence((F.col("_last") - F.col("_n") + 1).cast("int"), F.col("_last").cast("int"))))
     status = F.concat("status", F.coalesce(F.concat(F.lit(" (superseded by "), "superseded_by", F.lit(")")), F.lit("")))
     plain = {c: F.regexp_replace(c, r"(?m)^(\s*)#", r"$1\\#") for c in PROSE}
     prose = [_section(c, F.coalesce(plain[c], F.lit("")) if c in NEEDED else F.nullif(plain[c], F.lit(""))) for c in PROSE]
