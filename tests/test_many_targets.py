@@ -82,6 +82,11 @@ def held(spark, d, name, monkeypatch):
     return len(want), shuffled(df), max(written)
 
 
+def test_class_lift(spark, crowded, monkeypatch):
+    """Calls were checkpointed with each of their targets, though only the unresolved ones count here."""
+    assert held(spark, crowded, "res18_class_lift", monkeypatch)[2] <= 600
+
+
 def test_ladder(spark, crowded, monkeypatch):
     """Calls were checkpointed twice; now nothing is."""
     rows, moved, written = held(spark, crowded, "res12_call_ladder", monkeypatch)
