@@ -87,6 +87,10 @@ def test_class_lift(spark, crowded, monkeypatch):
     assert held(spark, crowded, "res18_class_lift", monkeypatch)[2] <= 600
 
 
+def test_external_calls(spark, crowded, monkeypatch):
+    assert held(spark, crowded, "res19_external_calls", monkeypatch)[2] <= 600
+
+
 def test_ladder(spark, crowded, monkeypatch):
     """Calls were checkpointed twice; now nothing is."""
     rows, moved, written = held(spark, crowded, "res12_call_ladder", monkeypatch)
