@@ -97,6 +97,12 @@ def test_ladder(spark, crowded, monkeypatch):
     assert rows > 5_000 and written == 0 and moved < rows / 2
 
 
+def test_call_edges(spark, crowded, monkeypatch):
+    """A call was checkpointed with each of its targets."""
+    rows, _, written = held(spark, crowded, "res20_call_edges", monkeypatch)
+    assert rows > 1_500 and written <= 500
+
+
 def test_exported_once_for_each_of_a_name(spark, crowded):
     """Two suppliers of each name: the SQL gives a document for each pair of them."""
     df = QUERIES["src22_exported"](spark, crowded)
@@ -109,3 +115,16 @@ def test_groups_over_one_chunk(spark, crowded, monkeypatch):
     monkeypatch.setattr(resolve, "CHUNK", 7)
     held(spark, crowded, "res20_call_edges", monkeypatch)
     held(spark, crowded, "res12_call_ladder", monkeypatch)
+
+
+def test_single_targets_within_a_group(spark):
+    """A method that self names besides a bare call of its name: the edge of that one has both sites, the others one."""
+    calls = spark.createDataFrame([("c", "a.py", "a.py", "S.f", "run", "self", 0), ("c", "a.py", "a.py", "S.f", "run", None, 1)], "caller_id string, caller_path string, caller_file_id string, caller_qualified string, callee string, receiver string, seq long")
+    funcs = spark.createDataFrame([("m", "run", "S.run", "a.py"), ("l", "run", "S.run", "a.py"), ("n", "run", "T.run", "b.py")], "id string, name string, qualified string, file_path string")
+    types = spark.createDataFrame([], "id string, label string, name string, qualified string, file_path string")
+    names = spark.createDataFrame([], "file_id string, local string, path string, original string")
+    more = types, names, spark.createDataFrame([], "file_id string, alias string, target string"), spark.createDataFrame([], "caller_id string, local string, class_id string")
+    whole = resolve.call_edges(calls, resolve.resolve_calls(calls, funcs, *more), types, names)[0]
+    groups = resolve.call_edges(calls, resolve.place_calls(calls, funcs, *more), types, names, funcs)[0]
+    assert groups.columns == whole.columns
+    assert sorted(map(tuple, groups.collect())) == sorted(map(tuple, whole.collect())) == [("c", "l", "ambiguous", 0.33, 1), ("c", "m", "exact", 1.0, 2), ("c", "n", "ambiguous", 0.33, 1)]
