@@ -161,14 +161,27 @@ def precision_recall(relevant: DataFrame, found: DataFrame, beta: float = 0.5) -
 
 
 def tightest(points: DataFrame, intervals: DataFrame, bucket: int) -> DataFrame:
-    """(point, interval): the shortest of intervals (key, id, lo, hi) around each of points (key, point, at).
+    """(point, interval): the shortest of intervals (key, id, lo, hi) around each of points (key, point, at), whole numbers all.
 
-    A range join by buckets: an interval is dealt to the buckets it covers, so both sides meet on (key, bucket).
+    An interval is the buckets that it fills, as at most two blocks of each power of two, and less than a bucket's places
+    at either end.  The shortest of each block and place is kept, and each place that points have meets one row for each
+    power: the work grows with points and intervals, not with how many overlap.
     """
-    spread = intervals.select("key", "id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))).alias("bucket"))
-    placed = points.withColumn("bucket", F.floor(F.col("at") / bucket))
-    hits = placed.join(spread, ["key", "bucket"]).where("at between lo and hi")
-    return hits.groupBy("point").agg(F.min_by("id", F.struct(F.col("hi") - F.col("lo"), F.col("id"))).alias("interval"))
+    i = intervals.where("lo <= hi").groupBy("key", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).agg(F.min("id").alias("id"))
+    i = i.withColumns({"first": F.expr(f"cast(floor((lo + {bucket - 1}) / {bucket}) as bigint)"), "end": F.expr(f"cast(floor((hi + 1) / {bucket}) as bigint)")})
+    i = i.withColumn("levels", F.expr("if(first < end, length(bin(end - first)), 0)"))
+    # blocks of level k that hold buckets first up to end: from l up to r; an odd l or r has one that the next level can't hold
+    one = lambda at, block: f"if(l_r.l < l_r.r and {at} % 2 <> 0, struct(k, {block} as block), null)"
+    blocks = F.expr(f"""filter(flatten(transform(if(levels > 0, sequence(0, levels - 1), array()), k -> transform(
+        array(struct(-shiftright(-first, k) as l, shiftright(end, k) as r)), l_r -> array({one("l_r.l", "l_r.l")}, {one("l_r.r", "l_r.r - 1")})
+    )[0])), x -> x is not null)""")
+    ends = F.expr(f"""transform(if(levels = 0, sequence(lo, hi), concat(if(lo < first * {bucket}, sequence(lo, first * {bucket} - 1), array()), if(end * {bucket} <= hi, sequence(end * {bucket}, hi), array()))), x -> struct(-1 as k, x as block))""")
+    held = i.select("key", F.struct((F.col("hi") - F.col("lo")).alias("length"), "id").alias("one"), F.explode(F.concat(blocks, ends)).alias("at")).groupBy("key", "at.k", "at.block").agg(F.min("one").alias("one"))
+    most = i.agg(F.max("levels")).first()[0] or 0
+    places = points.select("key", F.col("at").cast("long").alias("at")).distinct()
+    asked = F.expr(f"concat(array(struct(-1 as k, at as block)), transform({'sequence(0, %d)' % (most - 1) if most else 'cast(array() as array<int>)'}, k -> struct(k, shiftright(cast(floor(at / {bucket}) as bigint), k) as block)))")
+    met = places.select("key", "at", F.explode(asked).alias("p")).select("key", "at", "p.k", "p.block").join(held, ["key", "k", "block"]).groupBy("key", "at").agg(F.min("one").alias("one"))
+    return points.select("key", "point", F.col("at").cast("long").alias("at")).join(met, ["key", "at"]).groupBy("point").agg(F.min("one").alias("one")).select("point", F.col("one.id").alias("interval"))
 
 
 def stale_embeddings(corpus: DataFrame, cache: DataFrame) -> DataFrame:

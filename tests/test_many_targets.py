@@ -103,6 +103,29 @@ def test_call_edges(spark, crowded, monkeypatch):
     assert rows > 1_500 and written <= 500
 
 
+def test_tightest(spark, crowded, monkeypatch):
+    """Each point met every interval around it: the join's rows are bounded by the places and blocks that are asked for."""
+    df = QUERIES["rnk10_tightest"](spark, crowded)
+    columns, want = expected(crowded, "rnk10_tightest")
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == want != []
+    assert joined(df) <= 20_000
+
+
+def test_tightest_of_any_length(spark):
+    """Against brute force: negative places, intervals of one place up to thousands, none around a point, equal lengths."""
+    rand = random.Random(4)
+    held = [(k, i, lo, lo + rand.choice((0, 1, 6, 24, 25, 26, 80, 700, 5000))) for i in range(300) for k, lo in [(rand.choice("ab"), rand.randrange(-3000, 3000))]] + [("a", 900, 5, 4)]
+    asked = [(rand.choice("abc"), p, rand.randrange(-3500, 4000)) for p in range(500)]
+    want = {}
+    for k, p, at in asked:
+        around = [(hi - lo, i) for key, i, lo, hi in held if key == k and lo <= at <= hi]
+        if around:
+            want[p] = min(around)[1]
+    points, intervals = spark.createDataFrame(asked, "key string, point long, at long"), spark.createDataFrame(held, "key string, id long, lo long, hi long")
+    for bucket in (1, 25, 10_000):
+        assert {r.point: r.interval for r in search.tightest(points, intervals, bucket).collect()} == want
+
+
 def test_exported_once_for_each_of_a_name(spark, crowded):
     """Two suppliers of each name: the SQL gives a document for each pair of them."""
     df = QUERIES["src22_exported"](spark, crowded)
