@@ -126,6 +126,14 @@ def test_tightest_of_any_length(spark):
         assert {r.point: r.interval for r in search.tightest(points, intervals, bucket).collect()} == want
 
 
+def test_governing(spark, crowded):
+    """Each node under a path met each decision on it before the first five were taken."""
+    df = QUERIES["dec04_governing"](spark, crowded)
+    columns, want = expected(crowded, "dec04_governing")
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == want
+    assert joined(df) <= 7_000
+
+
 def test_exported_once_for_each_of_a_name(spark, crowded):
     """Two suppliers of each name: the SQL gives a document for each pair of them."""
     df = QUERIES["src22_exported"](spark, crowded)
