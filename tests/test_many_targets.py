@@ -134,6 +134,24 @@ def test_governing(spark, crowded):
     assert joined(df) <= 7_000
 
 
+def test_governed_counts(spark, crowded):
+    df = QUERIES["dec05_governed_nodes"](spark, crowded)
+    columns, want = expected(crowded, "dec05_governed_nodes")
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == want
+    assert joined(df) <= 7_000
+
+
+def test_governed_counts_are_lengths(spark):
+    """Several paths, nested ones, exact ones and anchors beside them: as many as the lists hold."""
+    anchor = "array<struct<node_id string, path string, hash string>>"
+    rows = [("a", "accepted", [("rs1:r:func:p/x.py#f@0", "p/x.py", None)], ["p/", "p/q/"]), ("b", "proposed", [("rs1:r:func:z.py#f@0", "z.py", "h")], ["p/q/y.py"]), ("c", "rejected", [], ["p/"]), ("d", "accepted", [("rs1:o:func:z.py#f@0", "p/q/y.py", None)], []), ("e", "accepted", None, ["p/", "p/q/"])]
+    decs = spark.createDataFrame(rows, f"id string, status string, anchors {anchor}, paths array<string>")
+    nodes = spark.createDataFrame([(f"rs1:r:func:{p}#{f}@0", p, "h") for p in ("p/x.py", "p/q/y.py", "z.py", "pp/x.py") for f in "fg"], "id string, file_path string, content_hash string")
+    lists = decisions.governed_nodes(decisions.governing(decs, nodes, most=None)).collect()
+    counts = {(r.id, r.status): r.governs for r in decisions.governed_counts(decs, nodes).collect()}
+    assert counts == {(r.id, r.status): len(r.governs) for r in lists} == {("a", "accepted"): 4, ("b", "proposed"): 4, ("d", "accepted"): 1, ("e", "accepted"): 4}
+
+
 def test_exported_once_for_each_of_a_name(spark, crowded):
     """Two suppliers of each name: the SQL gives a document for each pair of them."""
     df = QUERIES["src22_exported"](spark, crowded)
