@@ -152,6 +152,17 @@ def test_governed_counts_are_lengths(spark):
     assert counts == {(r.id, r.status): len(r.governs) for r in lists} == {("a", "accepted"): 4, ("b", "proposed"): 4, ("d", "accepted"): 1, ("e", "accepted"): 4}
 
 
+@pytest.mark.parametrize("name", ["flt03_by_name", "flt04_content_hash"])
+def test_lookups(spark, crowded, name, monkeypatch):
+    """A join gave each pair by itself, and the hashes' were all sorted: now packs meet, in tasks of their own."""
+    monkeypatch.setattr(stores, "PACKED", 100)
+    df = QUERIES[name](spark, crowded)
+    columns, want = expected(crowded, name)
+    df = df.select(*columns)
+    assert sorted(map(tuple, df.collect()), key=repr) == want
+    assert joined(df) <= len(want) / 20 and shuffled(df) <= len(want) / 20
+
+
 def test_exported_once_for_each_of_a_name(spark, crowded):
     """Two suppliers of each name: the SQL gives a document for each pair of them."""
     df = QUERIES["src22_exported"](spark, crowded)
