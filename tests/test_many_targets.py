@@ -103,6 +103,11 @@ def test_call_edges(spark, crowded, monkeypatch):
     assert rows > 1_500 and written <= 500
 
 
+def test_imports(spark, crowded, monkeypatch):
+    rows, moved, written = held(spark, crowded, "res11_import_followed", monkeypatch)
+    assert rows > 2_000 and written == 0 and moved <= 9_000
+
+
 def test_tightest(spark, crowded, monkeypatch):
     """Each point met every interval around it: the join's rows are bounded by the places and blocks that are asked for."""
     df = QUERIES["rnk10_tightest"](spark, crowded)
